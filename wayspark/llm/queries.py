@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
-from . import bpe, fingerprints, html_extract, jaccard_join, mixing, pii, toxicity, zip_archive
+from . import bpe, fingerprints, html_extract, jaccard_join, line_dedup, mixing, pii, toxicity, zip_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +59,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op3_source_mixing, op4_html_extraction, op5_bpe, op6_zip_warc, op7_toxicity, op8_exact_dedup, op9_fingerprints, op10_personal_data)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op3_source_mixing, op4_html_extraction, op5_bpe, op6_zip_warc, op7_toxicity, op8_exact_dedup, op9_fingerprints, op10_personal_data)
 }
 
 ORACLE_SQL: dict[str, str] = {

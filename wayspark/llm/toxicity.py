@@ -75,7 +75,7 @@ class Network:
             "att": (rng.standard_normal((2 * h,)) * 0.3).astype(f),
             "out": (rng.standard_normal((2 * h,)) * 0.3).astype(f),
             "bias": np.zeros(1, f),
-            "platt": np.array([1.0, 0.0, 0.0], f),
+            "platt": np.array([0.5, 0.0], f),
         }
         return self
 
@@ -224,13 +224,13 @@ class Scorer:
         return np.split(out, np.cumsum([len(x) for x in starts])[:-1]) if starts else []
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Probabilities: the highest window and the number of windows, calibrated."""
+        """Probabilities: the logit of the highest window, calibrated."""
         docs = [tokens(t) for t in texts]
         if not docs:
             return np.zeros(0)
         logits = self.window_logits(docs)
-        a, b, c = self.net.p["platt"]
-        z = np.array([a * x.max() + b * np.log(len(x)) + c for x in logits], np.float64)
+        a, c = self.net.p["platt"]
+        z = np.array([a * x.max() + c for x in logits], np.float64)
         return 1 / (1 + np.exp(-z))
 
 
@@ -239,19 +239,19 @@ def _adagrad(value: np.ndarray, state: np.ndarray, grad: np.ndarray, lr: float)
     value -= lr * grad / np.sqrt(state + 1e-8)
 
 
-def train(texts: list[str], labels: np.ndarray, sizes: Sizes | None = None, rounds: int = 3, epochs: int = 3, seed: int = 5) -> Network:
+def train(texts: list[str], labels: np.ndarray, sizes: Sizes | None = None, rounds: int = 3, epochs: int = 3, least_steps: int = 200, seed: int = 5) -> Network:
     """Train on whole texts. Only texts are labelled, so that windows are chosen: at
     first those whose words speak most for the label by their counts, then, in each
     round, those that the network itself scores highest, in texts of either label,
-    beside others at random from clean texts. A fifth of the texts is left for the
-    calibration of the highest window's logit."""
+    beside others at random from clean texts. A round has at least least_steps steps. A
+    fifth of the texts is left for the calibration of the highest window's logit."""
     sizes = sizes or Sizes()
     rng = np.random.default_rng(seed)
     net = Network(sizes).init(rng)
     docs = [tokens(t) for t in texts]
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
-        net.p["platt"][:] = [0.0, 0.0, 2.0 if len(y) and y[0] else -2.0]
+        net.p["platt"][:] = [0.0, 2.0 if len(y) and y[0] else -2.0]
         return net
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int64) for d in docs]
@@ -294,10 +294,11 @@ def train(texts: list[str], labels: np.ndarray, sizes: Sizes | None = None, roun
         index, mask = np.stack([w[0] for w in wins]), np.stack([w[1] for w in wins])
         target = np.array([y[i] for i, _ in chosen], np.float32)
         pos, neg = np.flatnonzero(target == 1), np.flatnonzero(target == 0)
-        for _ in range(epochs):
+        batches = -(-2 * max(len(pos), len(neg)) // 128)
+        for _ in range(max(epochs, -(-least_steps // batches))):
             # as many windows of either label
-            share = rng.choice(pos, len(neg)) if len(pos) < len(neg) else pos
-            order = rng.permutation(np.concatenate([share, neg]))
+            n = max(len(pos), len(neg))
+            order = rng.permutation(np.concatenate([x if len(x) == n else rng.choice(x, n) for x in (pos, neg)]))
             for lo in range(0, len(order), 128):
                 b = order[lo : lo + 128]
                 uniq, inv = np.unique(index[b], return_inverse=True)
@@ -326,19 +327,25 @@ def train(texts: list[str], labels: np.ndarray, sizes: Sizes | None = None, roun
 
 
 def _calibrate(net: Network, docs: list[list[str]], y: np.ndarray, fold: np.ndarray) -> None:
-    """Logistic regression of the label on the highest logit and the log number of
-    windows, by Newton steps with a small penalty, over the texts left out."""
+    """Logistic regression of the label on the highest logit, over the texts left out:
+    Newton steps, halved until the penalised loss falls."""
     held = np.flatnonzero(fold == 0)
     if len(set(y[held])) < 2:
         held = np.arange(len(docs))
     logits = Scorer(net, 1 << 30).window_logits([docs[i] for i in held])
-    x = np.array([[v.max(), np.log(len(v)), 1.0] for v in logits], np.float64)
-    t, w = y[held].astype(np.float64), np.array([1.0, 0.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = x.T @ (x * (p * (1 - p))[:, None]) + np.diag([0.1, 0.1, 0.01])
-        step = np.linalg.solve(hess, x.T @ (t - p) - np.array([0.1, 0.1, 0.01]) * (w - np.array([1.0, 0.0, 0.0])))
-        w += np.clip(step, -2, 2)
+    x = np.array([[v.max(), 1.0] for v in logits], np.float64)
+    t, w, pull = y[held].astype(np.float64), np.array([0.5, 0.0]), np.array([0.2, 0.2])
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.logaddexp(0, z).sum() - t @ z + (pull * (v - [0.5, 0.0]) ** 2).sum() / 2)
+
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(pull), x.T @ (t - p) - pull * (w - [0.5, 0.0]))
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
     net.p["platt"] = w.astype(np.float32)
 
 
