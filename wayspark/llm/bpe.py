@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 #: White space of the vocabulary's own split, as a character class.
 _SPACES = "\t-\r \x85\xa0  -     　"
 #: The split of the vocabulary's pre-tokenizer; fixed by its file.
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+".replace(r"\s", _SPACES)
 
 
 def byte_letters() -> list[str]:
@@ -34,8 +36,8 @@ def byte_letters() -> list[str]:
 class TreeEncoder:
     """Encodes texts exactly as the tokenizers library does with one vocabulary file.
 
-    Text is cut at white space; the ids and decoded tokens of short pieces are kept
-    in a table of bounded size. A run without white space whose split leaves a piece
+    Text is cut at white space, runs are split as the vocabulary says, and the ids and
+    decoded tokens of short runs and pieces are kept in tables of bounded size. A piece
     of more than `leaf` byte letters is encoded as a tree: its leaves in parallel,
     then neighbours joined pairwise. At a join the last tokens of the left and the
     first tokens of the right side are encoded anew together, in a window that grows
@@ -48,9 +50,6 @@ class TreeEncoder:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -63,12 +62,16 @@ class TreeEncoder:
         self.inner = Tokenizer(BPE(vocab=vocab, merges=merges))
         self.ending = Tokenizer(BPE(vocab=vocab, merges=merges, end_of_word_suffix=self.suffix))
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.pieces = regex.compile(_PIECES)
+        self.pieces = regex.compile(_PIECES).findall
+        self.ascii_pieces = re.compile(_PIECES.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
         self.split = re.compile(f"[^{_SPACES}]+").findall
         self.odd = re.compile("[\x1c-\x1f]").search
         self.letters = byte_letters()
         self.leaf, self.most = leaf, most
-        self.table: dict[str, tuple[bytes, bytes, int]] = {}
+        self.model = self.ending.model
+        self.table: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.piece_table: dict[str, tuple[bytes, bytes]] = {}
 
     # -- long pieces ----------------------------------------------------------
 
@@ -77,8 +80,7 @@ class TreeEncoder:
 
     def _text(self, ids: list[int]) -> str:
         """Byte letters of tokens, without an end of a word."""
-        names = "".join(self.names[i] for i in ids)
-        return names
+        return "".join([self.names[i] for i in ids])
 
     def _join(self, left: list[int], right: list[int], ends: bool) -> list[int]:
         if not left or not right:
@@ -112,48 +114,55 @@ class TreeEncoder:
             level = up
         return level[0][0]
 
-    def _long_run(self, run: str) -> list[int]:
-        import unicodedata
-
-        normal = "".join(c.lower() for c in unicodedata.normalize("NFC", run))
-        out: list[int] = []
-        for piece in self.pieces.findall(normal):
-            data = piece.encode()
-            if len(data) > self.leaf:
-                out += self.long_piece("".join(map(self.letters.__getitem__, data)))
-            else:
-                out += self.whole.encode(piece, add_special_tokens=False).ids
-        return out
-
-    # -- texts ----------------------------------------------------------------
+    def _normal(self, run: str) -> str:
+        """A run in composed form and lower case, letter by letter."""
+        if run.isascii():
+            return run.lower()
+        run = unicodedata.normalize("NFC", run)
+        return run.lower() if "Σ" not in run else "".join(c.lower() for c in run)
 
-    def _entry(self, ids: list[int]) -> tuple[bytes, bytes, int]:
-        import array
+    def _split(self, normal: str) -> list[str]:
+        if normal.isalpha():
+            return [normal]
+        return self.ascii_pieces(normal) if normal.isascii() else self.pieces(normal)
 
-        a = array.array("I", ids)
-        return a.tobytes(), " ".join(map(self.names.__getitem__, ids)).encode(), len(ids)
+    # -- texts ----------------------------------------------------------------
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Put the runs of these texts in the table, encoding new ones in parallel."""
-        new = set()
-        for runs in texts:
-            new.update(runs)
-        if len(self.table) + len(new) > self.most:
-            self.table = {}
-        new = [r for r in new if r not in self.table and len(r) <= self.leaf]
-        for run, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False)):
-            self.table[run] = self._entry(e.ids)
+    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return array.array("I", ids).tobytes(), " ".join(map(self.names.__getitem__, ids)).encode()
+
+    def _piece(self, piece: str) -> tuple[bytes, bytes]:
+        letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+        if len(letters) > self.leaf:
+            return self._entry(self.long_piece(letters))
+        return self._entry([t.id for t in self.model.tokenize(letters)])
+
+    def _run(self, run: str) -> tuple[bytes, bytes]:
+        table, got = self.piece_table, []
+        for piece in self._split(self._normal(run)):
+            e = table.get(piece)
+            if e is None:
+                e = self._piece(piece)
+                if len(piece) <= 64:
+                    table[piece] = e
+            got.append(e)
+        if len(got) == 1:
+            return got[0]
+        return b"".join([e[0] for e in got]), b" ".join([e[1] for e in got])
+
+    def room(self) -> None:
+        """Keep the tables within their bounds: what is not seen again while one
+        generation fills is forgotten."""
+        if len(self.table) > self.most:
+            self.old, self.table = self.table, {}
+        if len(self.piece_table) > self.most:
+            self.piece_table = {}
 
     def runs(self, text: str) -> list[str]:
         return self.split(text) if self.odd(text) else text.split()
 
-    def entries(self, runs: list[str]) -> list[tuple[bytes, bytes, int]]:
-        table = self.table
-        return [table[r] if r in table else self._entry(self._long_run(r)) for r in runs]
-
-    def parts(self, text: str) -> list[tuple[bytes, bytes, int]]:
-        """(ids, decoded tokens, number) of the parts of a text. Runs that are not in
-        the table are encoded one by one."""
+    def parts(self, text: str) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded tokens) of the parts of a text."""
         if "<|" not in text:
             return self._plain(text)
         out = []
@@ -164,18 +173,25 @@ class TreeEncoder:
                 out += self._plain(seg)
         return out
 
-    def _plain(self, text: str) -> list[tuple[bytes, bytes, int]]:
-        runs = self.runs(text)
-        missing = [r for r in runs if r not in self.table]
-        if missing:
-            self.learn([missing])
-        return self.entries(runs)
+    def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
+        self.room()
+        runs, table = self.runs(text), self.table
+        got = list(map(table.get, runs))
+        if None in got:
+            for i, e in enumerate(got):
+                if e is None:
+                    run = runs[i]
+                    e = table.get(run)
+                    if e is None:
+                        e = self.old.get(run) or self._run(run)
+                        if len(run) <= 64:
+                            table[run] = e
+                    got[i] = e
+        return got
 
     def encode(self, text: str) -> list[int]:
-        import array
-
         a = array.array("I")
-        a.frombytes(b"".join(p[0] for p in self.parts(text)))
+        a.frombytes(b"".join([p[0] for p in self.parts(text)]))
         return a.tolist()
 
     def decode(self, ids: list[int]) -> str:
@@ -183,9 +199,9 @@ class TreeEncoder:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        parts = [p for p in self.parts(text) if p[2]]
-        n = sum(p[2] for p in parts)
-        return n, hashlib.sha256(b"".join(p[0] for p in parts)).hexdigest(), hashlib.sha256(b" ".join(p[1] for p in parts)).hexdigest()
+        parts = self.parts(text)
+        ids = b"".join([p[0] for p in parts])
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b" ".join([p[1] for p in parts if p[1]])).hexdigest()
 
 
 def _encoder(path: str, leaf: int) -> TreeEncoder:
@@ -222,7 +238,6 @@ def encode_documents(
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                enc.learn([enc.runs(t) for t in texts if "<|" not in t])
                 got = [enc.digest(t) for t in texts]
                 cols = [part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
