@@ -1 +1 @@
-"""functions."""
+"""Column expressions: geometry, sequences and relational sketches."""

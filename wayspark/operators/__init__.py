@@ -1 +1 @@
-"""operators."""
+"""Operators over trips: DataFrame in, DataFrame out."""

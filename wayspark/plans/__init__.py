@@ -1 +1 @@
-"""plans."""
+"""Whole queries: derived input relations, their plans and their SQL."""
