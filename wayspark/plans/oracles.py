@@ -219,7 +219,7 @@ MIN_EDGES = [0, 30, 60, 120, 180, 240, 300, 600]
 
 ORACLE_SQL: dict[str, str] = {
     "src1_csv_scan": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
-    "src3_parquet_pruned_scan": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 100 = 7",
+    "src3_parquet_pruned_scan": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'",
     "src8_fixed_sample": "SELECT c_custkey, c_name FROM customer ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 50",
     "src10_load_trips": T("SELECT trip_id, len(cells) AS n_cells, taxi_id, duration_sec, distance_km FROM trips"),
     "src11_json_polylines": C("SELECT corridor, n_cells AS n_points FROM mea WHERE n_cells >= 4"),

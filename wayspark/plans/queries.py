@@ -45,7 +45,7 @@ def _(spark, d):
 
 @query("src3_parquet_pruned_scan")
 def _(spark, d):
-    return io.read_parquet(spark, f"{d}/orders.parquet", ["o_orderkey", "o_orderstatus"]).where("o_orderkey % 100 = 7")
+    return io.read_parquet(spark, f"{d}/orders.parquet", ["o_orderkey", "o_orderstatus"]).where("o_orderstatus = 'F'")
 
 
 @query("src8_fixed_sample")
