@@ -46,7 +46,7 @@ class TreeEncoder:
     joined sequence is the encoding of the whole.
     """
 
-    def __init__(self, path: str, leaf: int = 2048, most: int = 150_000) -> None:
+    def __init__(self, path: str, leaf: int = 2048, most: int = 80_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 

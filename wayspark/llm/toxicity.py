@@ -172,7 +172,7 @@ def cut(n: int, sizes: Sizes) -> list[int]:
 class Scorer:
     """Scores whole texts; keeps the gate rows of words in a table of bounded size."""
 
-    def __init__(self, net: Network, most: int = 120_000) -> None:
+    def __init__(self, net: Network, most: int = 60_000) -> None:
         self.net, self.most = net, most
         self.reset()
 
