@@ -249,14 +249,26 @@ def similar(a, b):
     return 1 - prev[-1] / max(len(a), len(b)) >= 0.8 - 1e-9
 
 
+class _Near:
+    def __contains__(self, x):
+        return x.bit_count() <= 8
+
+
+NEAR = _Near()
+
+
 def lines_brute(spark, docs):
     """Groups from all pairs of distinct lines, by the SimHash keys that Spark gives."""
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     from pyspark.sql import functions as F
 
-    lines = line_dedup._lines(df, 5)
-    keys = {(r["h1"], r["h2"]): set(r["k"]) for r in line_dedup.simhashed(lines).select("h1", "h2", line_dedup._keys(F.col("sim"), 4, 2).alias("k")).collect()}
-    occ = [(r["doc_id"], r["pos"], r["norm"], keys[r["h1"], r["h2"]]) for r in lines.collect()]
+    lines = line_dedup._lines(df, 5).collect()
+    sims = {(r["doc_id"], r["pos"]): (set(r["k"]), r["sim"]) for r in line_dedup.simhashed(df, 5).select("doc_id", "pos", "sim", line_dedup._keys(F.col("sim"), 4, 2).alias("k")).collect()}
+    for r in (r for r in lines if r["doc_id"] < 2):
+        w = r["norm"].split(" ")
+        hashes = [row[0] for row in spark.createDataFrame(list(zip(w, w[1:], w[2:])), "x string, y string, z string").select(F.xxhash64("x", "y", "z")).collect()]
+        assert sims[r["doc_id"], r["pos"]][1] == sum((2 * sum(h >> j & 1 for h in hashes) > len(hashes)) << j for j in range(60))
+    occ = [(r["doc_id"], r["pos"], r["norm"], sims[r["doc_id"], r["pos"]]) for r in lines]
     texts = {n: k for _, _, n, k in occ}
     up = {n: n for n in texts}
 
@@ -268,7 +280,7 @@ def lines_brute(spark, docs):
     names = sorted(texts)
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            if texts[a] & texts[b] and similar(a, b):
+            if texts[a][0] & texts[b][0] and (texts[a][1] ^ texts[b][1]) % (1 << 64) in NEAR and similar(a, b):
                 up[find(a)] = find(b)
     first = {}
     for d, p, n, _ in sorted(occ):
@@ -296,12 +308,12 @@ def test_line_dedup(spark):
 
 def test_line_dedup_of_odd_rows(spark):
     long = "this line is long enough to count"
-    rows = [(1, None, "a"), (2, "", "a"), (4, f"{long}\nok\n\n{long.upper()}", "a"), (3, f"ok\n {long} ", "a"), (5, f"ok\n{long}", "a"), (5, f"ok\n{long}", "a"), (None, long, "a"), (6, "w " * 50_000, "a")]
+    rows = [(1, None, "a"), (2, "", "a"), (4, f"{long}\nok\n\n{long.upper()}", "a"), (3, f"ok\n {long} ", "a"), (5, f"ok\n{long}", "a"), (5, f"ok\n{long}", "a"), (None, long, "a"), (6, "w " * 50_000, "a"), (7, " ".join(f"w{i % 4000}" for i in range(300_000)), "a")]
     df = frame(spark, rows)
     out = line_dedup.dedup_lines(df)
     assert out.columns[: len(df.columns)] == df.columns
     got = sorted(((r["doc_id"], r["text"], r["n_dropped"]) for r in out.collect()), key=str)
-    want = [(1, None, 0), (2, "", 0), (4, "ok\n", 2), (3, f"ok\n {long} ", 0), (5, "ok", 1), (5, "ok", 1), (None, "", 1), (6, "w " * 50_000, 0)]
+    want = [(1, None, 0), (2, "", 0), (4, "ok\n", 2), (3, f"ok\n {long} ", 0), (5, "ok", 1), (5, "ok", 1), (None, "", 1), (6, "w " * 50_000, 0), (7, rows[-1][1], 0)]
     assert got == sorted(want, key=str)
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
