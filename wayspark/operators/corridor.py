@@ -15,7 +15,7 @@ def _points(cells: Column, edge: float, p: Params) -> Column:
 
 
 def metrics(corridors: DataFrame, edge: float = 0.174, p: Params = DEFAULT) -> DataFrame:
-    """corridors (corridor, segments) with h3-free metrics: cells, counts, length with
+    """corridors (corridor, segments) with their metrics: cells, counts, length with
     holes bridged straight, covered length without, end-to-end distance, tortuosity
     (null where the ends coincide), start and end cell, and validity."""
     flat = F.flatten("segments")

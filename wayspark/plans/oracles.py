@@ -225,10 +225,10 @@ ORACLE_SQL: dict[str, str] = {
     "src11_json_polylines": C("SELECT corridor, n_cells AS n_points FROM mea WHERE n_cells >= 4"),
     "flt1_10_verdicts": f"WITH {RAW} SELECT TRIP_ID, verdict FROM judged",
     "flt11_verdict_counts": f"WITH {RAW} SELECT verdict, count(*) AS trips, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct FROM judged GROUP BY verdict",
-    "prj1_9_features": f"""WITH {RAW} SELECT TRIP_ID, CASE u3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS CALL_TYPE, CASE WHEN u3 = 1 THEN CAST(TAXI_ID % 7 AS VARCHAR) ELSE '' END AS ORIGIN_STAND, TAXI_ID,
-      n_dedup AS num_points, n_raw AS num_points_raw, (n_raw - 1) * 15 AS duration_sec, round(km, 4) AS distance_km, round(slng, 6) AS start_lng, round(slat, 6) AS start_lat, round(elng, 6) AS end_lng, round(elat, 6) AS end_lat,
+    "prj1_9_features": f"""WITH {RAW} SELECT TRIP_ID, CASE u3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS CALL_TYPE, CASE WHEN u3 = 1 THEN CAST(TAXI_ID % 7 AS VARCHAR) ELSE '' END AS ORIGIN_STAND, CAST(TAXI_ID AS INT) AS TAXI_ID,
+      CAST(n_dedup AS INT) AS num_points, CAST(n_raw AS INT) AS num_points_raw, CAST((n_raw - 1) * 15 AS INT) AS duration_sec, round(km, 4) AS distance_km, round(slng, 6) AS start_lng, round(slat, 6) AS start_lat, round(elng, 6) AS end_lng, round(elat, 6) AS end_lat,
       CASE WHEN n_raw > 1 THEN round(km / ((n_raw - 1) * 15 / 3600.0::DOUBLE), 2) ELSE 0 END AS avg_speed_kmh, strftime(make_timestamp(TIMESTAMP * 1000000), '%Y-%m-%d %H:%M:%S') AS trip_datetime,
-      hour(make_timestamp(TIMESTAMP * 1000000)) AS hour_of_day, dayofweek(make_timestamp(TIMESTAMP * 1000000)) + 1 AS day_of_week FROM judged WHERE verdict = 'kept'""",
+      CAST(hour(make_timestamp(TIMESTAMP * 1000000)) AS INT) AS hour_of_day, CAST(dayofweek(make_timestamp(TIMESTAMP * 1000000)) + 1 AS INT) AS day_of_week FROM judged WHERE verdict = 'kept'""",
     **{f"prj10_encode_res{x}": f"WITH {RAW}, {encoded(x)} SELECT TRIP_ID, array_to_string(cells, '|') AS cells, cells[1] AS start_cell, cells[-1] AS end_cell, len(cells) AS n_cells FROM e{x}" for x in (8, 9, 10)},
     "agg2_distinct_cells": f"WITH {RAW}, {encoded(8)}, {encoded(9)}, {encoded(10)} " + " UNION ALL ".join(f"SELECT {x} AS res, count(DISTINCT c) AS n_cells FROM (SELECT unnest(cells) AS c FROM e{x})" for x in (8, 9, 10)),
     "agg1_6_stage_stats": f"WITH {RAW} SELECT count(*) AS n, count(DISTINCT TAXI_ID) AS taxis, round(max(km), 4) AS max_km, round(avg(n_dedup / n_raw), 6) AS mean_ratio FROM judged WHERE verdict = 'kept'",
@@ -274,6 +274,7 @@ ORACLE_SQL: dict[str, str] = {
     "win3_ranked": C("SELECT corridor, CAST(row_number() OVER (ORDER BY n_cells DESC, support DESC, corridor) AS INT) AS rank FROM val"),
     "win5_capped": C("SELECT method, corridor FROM val QUALIFY row_number() OVER (PARTITION BY method ORDER BY n_cells DESC, support DESC, corridor) <= 7"),
     "jn11_contained": C("SELECT corridor, host FROM (SELECT a.corridor, b.corridor AS host, row_number() OVER (PARTITION BY a.corridor ORDER BY b.n_cells DESC, b.support DESC, b.corridor) AS k FROM val a JOIN val b ON contains('|' || array_to_string(b.cells, '|') || '|', '|' || array_to_string(a.cells, '|') || '|') AND (b.n_cells > a.n_cells OR (b.n_cells = a.n_cells AND (b.support > a.support OR (b.support = a.support AND b.corridor < a.corridor))))) WHERE k = 1"),
+    "jn11_without_contained": C("SELECT corridor, CAST(n_cells AS INT) AS n_cells FROM val WHERE corridor NOT IN (SELECT a.corridor FROM val a JOIN (SELECT corridor, n_cells, support, unnest(segments) AS sg FROM val) b ON contains('|' || array_to_string(b.sg, '|') || '|', '|' || array_to_string(a.cells, '|') || '|') AND (b.n_cells > a.n_cells OR (b.n_cells = a.n_cells AND (b.support > a.support OR (b.support = a.support AND b.corridor < a.corridor)))))"),
     "agg31_scorecard": C("SELECT method, count(*) AS n, round(max(length_km), 3) AS max_km, round(avg(length_km), 3) AS mean_km, round(avg(n_cells), 2) AS mean_cells, max(support) AS max_support, round(avg(support), 2) AS mean_support, count(*) FILTER (WHERE n_holes > 0) AS with_holes, round(avg(tortuosity), 3) AS mean_tortuosity, CASE WHEN sum(support) > 0 THEN round((sum(mined_support) - sum(support)) * 100.0::DOUBLE / sum(support), 1) ELSE 0 END AS overstated_pct, count(*) FILTER (WHERE length_km >= 1) AS ge_1km, count(*) FILTER (WHERE length_km >= 2) AS ge_2km FROM val GROUP BY method"),
     "agg32_sweep": C(f"SELECT pct, floor, count(support) AS n, round(max(length_km), 3) AS max_km, round(avg(length_km), 3) AS mean_km, count(*) FILTER (WHERE length_km >= 1) AS ge_1km, count(*) FILTER (WHERE length_km >= 2) AS ge_2km FROM {_TH} LEFT JOIN val ON support >= floor GROUP BY pct, floor"),
     "win9_threshold_choice": C(f"SELECT min_km, CASE WHEN hi IS NULL THEN lo.pct ELSE hi.pct END AS pct, CASE WHEN hi IS NULL THEN lo.floor ELSE hi.floor END AS floor, CASE WHEN hi IS NULL THEN lo.n ELSE hi.n END AS n, hi IS NOT NULL AS met_target FROM (SELECT min_km, max({{'pct': pct, 'floor': floor, 'n': n}}) FILTER (WHERE n >= 20) AS hi, min({{'pct': pct, 'floor': floor, 'n': n}}) AS lo FROM (SELECT min_km, pct, floor, count(support) AS n FROM (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS min_km) CROSS JOIN {_TH} LEFT JOIN val ON length_km >= min_km AND support >= floor GROUP BY min_km, pct, floor) GROUP BY min_km)"),
