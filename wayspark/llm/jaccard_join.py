@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stored
@@ -96,6 +96,15 @@ class Levels:
         return np.concatenate(out)
 
 
+    def columns(self, n: Column, most: int = 1 << 40) -> Column:
+        """The levels that a set of n elements is in, as an array column."""
+        while self.starts[-1] <= most:
+            self.level_of(self.starts[-1])
+        starts = F.array(*[F.lit(x).cast("bigint") for x in self.starts])
+        level = F.size(F.filter(starts, lambda x: x <= n)) - 1
+        return F.when(n * self.den >= F.get(starts, level + 1) * self.num, F.array(level, level + 1)).otherwise(F.array(level))
+
+
 # -- signature trees ----------------------------------------------------------
 
 
@@ -218,12 +227,16 @@ class SignatureTree:
 # -- the join -----------------------------------------------------------------
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, id) in order: each id with the first id of its run of equal sig in
-    this partition, and the first and last run for the partition's borders."""
-    schema = ["kind", "a", "b", "sig"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    first = last = None  # (sig, head of run)
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, id) in order: each id with the hub of its run of equal sig, the run's
+    first id, where a run has several ids. Rows of the partition's first run carry
+    their sig instead, as the run may begin before; the first and last run are told."""
+    schema, types = ["kind", "id", "hub", "sig"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def batch_of(kind: int, ids: np.ndarray, hub: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.full(len(ids), kind, np.int32), ids, hub, sig), types)], names=schema)
+
+    first = last = None  # (sig, hub)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -232,39 +245,40 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = (int(sig[0]), int(ids[0]))
         new = np.concatenate([[True], sig[1:] != sig[:-1]])
         start = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-        head = ids[start]
+        hub = ids[start]
         if last is not None and last[0] == int(sig[0]):
-            head = np.where(start == 0, last[1], head)
-        last = (int(sig[-1]), int(head[-1]))
-        keep = ids != head
+            hub = np.where(start == 0, last[1], hub)
+        last = (int(sig[-1]), int(hub[-1]))
+        opening = sig == first[0]
+        if opening.any():
+            yield batch_of(1, ids[opening], hub[opening], sig[opening])
+        keep = (ids != hub) & ~opening
         if keep.any():
-            e = np.unique(np.stack([ids[keep], head[keep]], axis=1), axis=0)
-            z = np.zeros(len(e), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((z.astype(np.int32), e[:, 0], e[:, 1], z), types)], names=schema)
+            e = np.unique(np.stack([ids[keep], hub[keep]], axis=1), axis=0)
+            h = np.unique(e[:, 1])  # a hub is in its own group
+            yield batch_of(0, np.concatenate([e[:, 0], h]), np.concatenate([e[:, 1], h]), np.zeros(len(e) + len(h), np.int64))
     if first is not None:
-        rows = [(1, first[1], 0, first[0]), (2, last[1], 0, last[0])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=schema)
+        yield batch_of(2, np.array([first[1], last[1]]), np.array([0, 0]), np.array([first[0], last[0]]))
 
 
-def candidates(sigs: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all ids (longs) with an equal signature, from rows
-    (sig, id). Rows are dealt out by ranges of (sig, id), so that a signature that
-    very many ids share is spread over tasks; runs that cross a border of two
-    partitions are tied by two rows a partition."""
+def groups(sigs: DataFrame) -> DataFrame:
+    """From rows (sig, id) of whole numbers: (id, hub), each id with the smallest id
+    that shares a signature with it, for each of its shared signatures. Ids with a
+    common signature thus meet in a group. Rows are dealt out by ranges of (sig, id),
+    so that a signature that very many ids share is spread over tasks; a run that
+    crosses a border of two partitions gets its hub from a table of two rows a
+    partition."""
     spark = sigs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = stored(sigs.repartitionByRange(n, "sig", "id").sortWithinPartitions("sig", "id").mapInArrow(_pairs, "kind int, a bigint, b bigint, sig bigint"))
-    heads: dict[int, int] = {}
-    ties = []
-    for r in out.where("kind > 0").collect():  # two rows a partition
-        if r["sig"] in heads:
-            ties.append((r["a"], heads[r["sig"]]))
-        else:
-            heads[r["sig"]] = r["a"]
-    edges = out.where("kind = 0").select("a", "b")
-    if ties:
-        edges = edges.union(spark.createDataFrame(ties, "a bigint, b bigint"))
-    return edges.distinct()
+    out = stored(sigs.repartitionByRange(n, "sig", "id").sortWithinPartitions("sig", "id").mapInArrow(_hubs, "kind int, id bigint, hub bigint, sig bigint"))
+    least: dict[int, int] = {}
+    for r in out.where("kind = 2").collect():  # two rows a partition
+        least[r["sig"]] = min(r["id"], least.get(r["sig"], r["id"]))
+    pairs = out.where("kind = 0").select("id", "hub")
+    if least:
+        heads = F.broadcast(spark.createDataFrame(list(least.items()), "sig bigint, head bigint"))
+        pairs = pairs.union(out.where("kind = 1").join(heads, "sig").select("id", F.col("head").alias("hub")))
+    return pairs.distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -294,7 +308,13 @@ def _tree_links(num: int, den: int):
             tree = SignatureTree([np.frombuffer(k[1], np.uint64) for k in seen], num, den, None if known[0] is None else known)
             links = tree.join()
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[p] for p, _ in links], pa.int64()), pa.array([ids[q] for _, q in links], pa.int64())], names=["a", "b"])
+                # links as stars: each linked id with the least of its component here
+                least: dict[int, int] = {}
+                for p in {x for pair in links for x in pair}:
+                    r = tree.union.find(p)
+                    least[r] = min(ids[p], least.get(r, ids[p]))
+                star = [(ids[p], least[tree.union.find(p)]) for p in {x for pair in links for x in pair}]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in star], pa.int64()), pa.array([y for _, y in star], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -306,7 +326,7 @@ def jaccard_components(
     width: int = 5,
     num: int = 4,
     den: int = 5,
-    block_rows: int = 1500,
+    block_rows: int = 4000,
     block_tokens: int = 3_000_000,
     hubs: int = 16,
 ) -> DataFrame:
@@ -315,7 +335,8 @@ def jaccard_components(
 
     1. Each set offers digests of the parts of its hash space (Levels): any two sets
        that are similar enough share one, whatever passages others have in common.
-    2. Sets that share a digest form families. Equal sets are one member.
+    2. Sets that share a digest, directly or through others, form a family, which is
+       cut by the same size classes. Equal sets are one member.
     3. Each family is joined by a signature tree. A large family is dealt into blocks
        of bounded rows and tokens, each with the same few hubs; components follow from
        the blocks' links. Where a large family is still in several components, what
@@ -348,10 +369,12 @@ def jaccard_components(
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), lists], names=["doc_id", "n", "digest", "sigs"])
 
     rows = stored(base.mapInArrow(describe, "doc_id bigint, n bigint, digest binary, sigs array<bigint>"))
-    family = components(candidates(rows.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("id"))))
+    met = groups(rows.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("id")))
+    shared = components(met.select(F.col("id").alias("a"), F.col("hub").alias("b")))
     reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = rows.where("digest IS NOT NULL").select("digest", "doc_id").join(reps, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    in_family = reps.join(family, reps["rep"] == family["id"]).select("rep", F.col("root").alias("family"), "n")
+    in_family = reps.join(shared, reps["rep"] == shared["id"]).select("rep", F.explode(Levels(*levels).columns(F.col("n"))).alias("level"), "root", "n")
+    in_family = in_family.select("rep", F.xxhash64("root", "level").alias("family"), "n")
     stats = in_family.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("tokens") / block_tokens)).cast("int")
     members = stored(
@@ -365,8 +388,9 @@ def jaccard_components(
                 out = [shingles(t, width).tobytes() for t in part.column(4).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(out, pa.binary())], names=["family", "blocks", "block", "id", "set"])
 
+    # a shuffle join at every size, as members grow with the documents
     with_sets = (
-        base.join(members, base["doc_id"] == members["rep"])
+        base.join(members.hint("merge"), base["doc_id"] == members["rep"])
         .select("family", "blocks", "block", "doc_id", "text")
         .mapInArrow(sets, "family bigint, blocks int, block int, id bigint, set binary")
         .where(F.octet_length("set") > 0)
@@ -380,8 +404,10 @@ def jaccard_components(
     else:
         with_sets = stored(with_sets)
         many = with_sets.where("blocks > 1")
-        order = members.where("blocks > 1").groupBy("family").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.col("blocks") * block_rows // (4 * hubs))) == 0, F.struct(F.xxhash64("rep").alias("h"), "rep")))), 1, hubs).alias("hubs"))
-        hub = many.join(order.select("family", F.explode("hubs.rep").alias("id")), ["family", "id"]).select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.lit(0).alias("y"), "id", none, "set")
+        # a few hubs a family: of the ids that a hash picks out, about 4 * hubs, the first
+        picked = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.floor(F.col("blocks") * (block_rows / (4 * hubs))))) == 0
+        order = members.where("blocks > 1").where(picked).groupBy("family").agg(F.slice(F.array_sort(F.collect_set("rep")), 1, hubs).alias("hubs"))
+        hub = many.join(order.select("family", F.explode("hubs").alias("id")), ["family", "id"]).select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.lit(0).alias("y"), "id", none, "set")
         first = stored(link(with_sets.select("family", F.col("block").alias("x"), F.lit(0).alias("y"), "id", none, "set").union(hub)))
         known = components(first)
         named = many.join(known, "id", "left").withColumn("known", F.coalesce("root", "id")).drop("root")
