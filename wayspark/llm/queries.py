@@ -19,7 +19,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), bands=12)
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=1, bands=12)
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
