@@ -80,22 +80,29 @@ def shape(token: str) -> str:
 
 
 def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, str]]:
-    """(start, end, pattern, instance, kind) of identifier-like tokens. The pattern is
-    a hash of the word to the left, lower case, and the token's shape; kind is the
-    base kind that the token belongs to, or empty. Base spans are instances of their
+    """(start, end, pattern, instance, kind) of identifier-like tokens, one for each of
+    a token's patterns: hashes of one or two words to the left, of two to the right, of
+    one on either side, all lower case, and of the word to the left with the token's
+    shape. kind is the base kind that the token belongs to, or empty. Base spans are instances of their
     own; the tokens that they touch are not looked at again."""
     out = []
 
     def add(a: int, b: int, kind: str) -> None:
-        left = text[max(0, a - 64) : a].split()
-        if not left:
-            return
-        word = left[-1].strip("*#%&$|").lower()[:48]
-        if not word:
-            return
+        left = [w for x in text[max(0, a - 128) : a].split()[-2:] if (w := x.strip("*#%&$|").lower()[:48])]
+        right = [w for x in text[b : b + 128].split()[:3] if (w := x.strip(_EDGE).lower()[:48])][:2]
+        contexts = []
+        if left:
+            contexts += [("l", left[-1]), ("s", left[-1], shape(text[a:b]))]
+        if len(left) == 2:
+            contexts.append(("ll", *left))
+        if len(right) == 2:
+            contexts.append(("rr", *right))
+        if left and right:
+            contexts.append(("lr", left[-1], right[0]))
         h = xxhash.xxh3_64_intdigest
-        pattern = h(f"{word}\x00{shape(text[a:b])}") - (1 << 63)
-        out.append((a, b, pattern, h(text[a:b]) - (1 << 63), kind))
+        instance = h(text[a:b]) - (1 << 63)
+        for c in contexts:
+            out.append((a, b, h("\x00".join(c)) - (1 << 63), instance, kind))
 
     for kind, a, b in spans:
         add(a, b, kind)
@@ -127,12 +134,13 @@ def extract(
 
     Returns one row per input row: doc_id, n_email, n_ip, n_card, n_phone,
     base_sha256, spans. Base spans come from the four patterns. They seed contexts:
-    a lexical pattern (word to the left and shape of the token) is scored by the
-    share of its distinct instances that are held for personal data, an instance by
-    the best pattern that it occurs with, in turns over the whole corpus. Tokens that
-    no base kind covers and that stand in a pattern of at least `confidence`, with
-    `seeds` distinct base instances or more, are added under the pattern's kind with
-    a leading x_, behind the base spans.
+    a pattern (words to the left, to the right or on both sides; the token's shape is
+    in one of five) is scored by the share of its distinct instances that are held for
+    personal data, an instance by the best pattern that it occurs with, in turns over the
+    whole corpus. Instances of a pattern of at least `confidence`, with `seeds` distinct
+    held instances or more, are held in the next turn and seed further patterns. Tokens
+    that no base kind covers and that stand in such a pattern at the end are added, under
+    the kind that most of their patterns have, with a leading x_, behind the base spans.
 
     Null text counts as empty and has no span. Rows with equal or null ids keep their
     own spans. Very long texts are read in time linear in their length. Other columns
@@ -166,6 +174,10 @@ def extract(
     more = (
         spots.where("k = ''")
         .join(good, "p")
+        .groupBy("row", "a", "b", "kind")
+        .agg(F.count("*").alias("n"))
+        .groupBy("row", "a", "b")
+        .agg(F.max(F.struct("n", "kind"))["kind"].alias("kind"))
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("kind").alias("kind"), "a", "b"))).alias("more"))
     )
@@ -179,19 +191,28 @@ def extract(
 def score_patterns(spots: DataFrame, rounds: int, confidence: float, seeds: int, damping: float) -> DataFrame:
     """Patterns (p, kind) of high confidence, from occurrences (p, i, k).
 
-    The graph has one edge for each distinct pattern and instance. Seeds keep score
-    1; other instances start at 0 and take the best confidence of their patterns,
-    while a pattern's confidence is the mean score of its instances.
+    The graph has one edge for each distinct pattern and instance. Base seeds keep score
+    1; other instances start at 0 and take the best confidence of their patterns, while a
+    pattern's confidence is the mean score of its instances. Where the pattern is of
+    `confidence` and has enough held instances, its instances are held with its whole
+    confidence and kind, otherwise they take it damped.
     """
-    edges = stored(spots.groupBy("p", "i").agg(F.max("k").alias("k")))
-    # only patterns that some seed stands in can ever score
-    seeded = edges.where("k <> ''").groupBy("p", "k").agg(F.count("*").alias("n"))
-    kinds = seeded.groupBy("p").agg(F.max(F.struct("n", "k")).alias("best"), F.sum("n").alias("n_seeds")).where(F.col("n_seeds") >= seeds)
-    kinds = stored(kinds.select("p", F.col("best.k").alias("kind"), "n_seeds"))
-    live = stored(edges.join(kinds.select("p"), "p"))
-    scores = live.groupBy("i").agg(F.max(F.when(F.col("k") != "", 1.0).otherwise(0.0)).alias("s"))
+    edges = spots.groupBy("p", "i").agg(F.max("k").alias("k"))
+    # a pattern of fewer instances can't have enough that are held
+    wide = edges.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= seeds).select("p")
+    live = stored(edges.join(wide, "p"))
+    base = F.max(F.when(F.col("k") != "", F.col("k"))).alias("held")
+    scores = live.groupBy("i").agg(base).select("i", F.when(F.col("held").isNull(), 0.0).otherwise(1.0).alias("s"), "held")
+
+    def patterns() -> DataFrame:
+        """(p, c, kind): kind is null where too few instances are held."""
+        by_kind = live.select("p", "i").join(scores, "i").groupBy("p", "held").agg(F.count("*").alias("n"), F.sum("s").alias("s"))
+        held = F.when(F.col("held").isNotNull(), F.col("n"))
+        whole = by_kind.groupBy("p").agg((F.sum("s") / F.sum("n")).alias("c"), F.sum(held).alias("n_held"), F.max(F.when(F.col("held").isNotNull(), F.struct("n", "held"))).alias("best"))
+        return whole.select("p", "c", F.when((F.col("n_held") >= seeds) & (F.col("c") >= confidence), F.col("best.held")).alias("kind"))
+
     for _ in range(rounds):
-        conf = live.join(scores, "i").groupBy("p").agg(F.avg("s").alias("c"))
-        scores = stored(live.join(conf, "p").groupBy("i").agg(F.max(F.when(F.col("k") != "", 1.0).otherwise(F.col("c") * damping)).alias("s")))
-    conf = live.join(scores, "i").groupBy("p").agg(F.avg("s").alias("c"))
-    return conf.where(F.col("c") >= confidence).join(kinds, "p").select("p", "kind")
+        score = F.when(F.col("kind").isNotNull(), F.col("c")).otherwise(F.col("c") * damping)
+        found = live.join(patterns(), "p").groupBy("i").agg(base, F.max(score).alias("best"), F.max(F.when(F.col("kind").isNotNull(), F.struct("c", "kind"))).alias("sure"))
+        scores = stored(found.select("i", F.when(F.col("held").isNotNull(), 1.0).otherwise(F.coalesce("sure.c", "best")).alias("s"), F.coalesce("held", "sure.kind").alias("held")))
+    return patterns().where("kind IS NOT NULL").select("p", "kind")
