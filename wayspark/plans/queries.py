@@ -400,7 +400,7 @@ def _(spark, d):
 
 @query("min6_growth")
 def _(spark, d):
-    g = growth.grow(trips(spark, d), 8, gate_k=3, seeds=40, beam=40, rounds=3)
+    g = growth.grow(trips(spark, d), 8, gate_k=3)
     return g.select("corridor", F.size("segments").alias("n_segments"), "support")
 
 
