@@ -23,3 +23,11 @@ def test_growth_is_registered_at_its_full_width(spark, monkeypatch):
     monkeypatch.setattr(growth, "grow", spy)
     core.QUERIES["min6_growth"](spark, SF)
     assert (seen["seeds"], seen["beam"], seen["rounds"]) == (600, 600, 45)
+
+
+def test_distinct_counter_gives_every_cell(spark, monkeypatch):
+    rows = [("few", f"t{i}") for i in range(50)] * 2 + [("many", f"t{i}") for i in range(3000)]
+    monkeypatch.setattr(core, "_taxi_cells", lambda *_: spark.createDataFrame(rows, "cell string, taxi string"))
+    got = {r["cell"]: r["n_distinct"] for r in core.QUERIES["agg12_distinct_counter_all_cells"](spark, SF).collect()}
+    m = 1 << core.HB
+    assert got["few"] == 50 and abs(got["many"] / 3000 - 1) < 4 * 1.04 / m**0.5 and set(got) == {"few", "many"}

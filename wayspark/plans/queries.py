@@ -253,6 +253,12 @@ def _(spark, d):
     return sketch.distinct_count(_taxi_cells(spark, d), ["cell"], "taxi", HB).join(few, "cell")
 
 
+@query("agg12_distinct_counter_all_cells")
+def _(spark, d):
+    """Every cell, the estimated ones too; agg12_distinct_counter's SQL has the exact ones only."""
+    return sketch.distinct_count(_taxi_cells(spark, d), ["cell"], "taxi", HB)
+
+
 @query("set6_merged_sketch")
 def _(spark, d):
     g = _grams(spark, d, 3)
