@@ -31,3 +31,11 @@ def test_distinct_counter_gives_every_cell(spark, monkeypatch):
     got = {r["cell"]: r["n_distinct"] for r in core.QUERIES["agg12_distinct_counter_all_cells"](spark, SF).collect()}
     m = 1 << core.HB
     assert got["few"] == 50 and abs(got["many"] / 3000 - 1) < 4 * 1.04 / m**0.5 and set(got) == {"few", "many"}
+
+
+def test_overlap_pruning_reads_past_many_overlapping_rows(spark, monkeypatch):
+    stretch = [f"c{i}" for i in range(20)]
+    rows = [(f"a{i:03}", [stretch], 20, 9) for i in range(700)] + [(f"b{i:03}", [[f"d{i}x", f"d{i}y"]], 2, 5) for i in range(120)]
+    monkeypatch.setattr(core, "_valid", lambda *_: spark.createDataFrame(rows, "corridor string, segments array<array<string>>, n_cells int, support bigint"))
+    got = [r["corridor"] for r in core.QUERIES["jn12_overlap_pruned"](spark, SF).collect()]
+    assert got == ["a000"] + [f"b{i:03}" for i in range(99)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -82,9 +84,9 @@ def without_contained(measured: DataFrame, hole_aware: bool = False) -> DataFram
     return measured.join(hosts, F.col("corridor") == F.col("__inner"), "left").where("host IS NULL").drop("__inner", "host")
 
 
-def prune_overlapping(rows: list[dict], max_overlap: float, keep: int) -> list[dict]:
+def prune_overlapping(rows: Iterable[dict], max_overlap: float, keep: int) -> list[dict]:
     """Greedy choice from rows in order: one that shares more than max_overlap of the
-    smaller cell set with a chosen one goes. A beam's rows, bounded by the caller."""
+    smaller cell set with a chosen one goes. Rows are read until `keep` are chosen."""
     chosen: list[tuple[set, dict]] = []
     for row in rows:
         mine = {c for s in row["segments"] for c in s}

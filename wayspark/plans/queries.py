@@ -449,7 +449,9 @@ def _(spark, d):
 
 @query("jn12_overlap_pruned")
 def _(spark, d):
-    rows = [r.asDict() for r in _valid(spark, d).orderBy(F.desc("n_cells"), F.desc("support"), "corridor").select("corridor", "segments", "support").limit(500).collect()]
+    longest = _valid(spark, d).orderBy(F.desc("n_cells"), F.desc("support"), "corridor").select("corridor", "segments", "support")
+    # read in order, until enough are kept or the rows end
+    rows = (r.asDict() for r in longest.toLocalIterator())
     return spark.createDataFrame([(r["corridor"], r["support"]) for r in corridor.prune_overlapping(rows, 0.5, 100)], "corridor string, support bigint")
 
 
