@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from wayspark.llm.jaccard_join import jaccard_components
+from wayspark.llm.jaccard_join import SignatureTree, bitmap, jaccard_components
 
 SCHEMA = "doc_id bigint, text string, lang string, rep bigint, family string"
 
@@ -48,7 +49,7 @@ def corpus(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "width", "num", "den", "block"), [(1, 3, 9, 10, 1500), (2, 5, 4, 5, 1500), (3, 3, 9, 10, 6), (4, 5, 4, 5, 4)])
+@pytest.mark.parametrize(("seed", "width", "num", "den", "block"), [(1, 3, 9, 10, 1500), (2, 5, 4, 5, 1500), (3, 3, 9, 10, 6), (4, 5, 4, 5, 4), (5, 2, 1, 2, 1500), (6, 3, 3, 5, 1500), (7, 2, 1, 2, 5), (8, 1, 1, 3, 6)])
 def test_components_are_those_of_brute_force(spark, seed, width, num, den, block):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in rows], SCHEMA)
@@ -56,6 +57,40 @@ def test_components_are_those_of_brute_force(spark, seed, width, num, den, block
     assert got == brute(rows, width, num, den)
 
 
+def test_node_pairs_are_dropped():
+    """The traversal drops pairs of nodes, and loses no link, by sets or by bitmaps."""
+    rng = random.Random(4)
+    sets = []
+    for _ in range(25):
+        base = [rng.randrange(1 << 62) for _ in range(120)]
+        for _ in range(6):
+            s = list(base)
+            for _ in range(rng.randint(0, 14)):
+                s[rng.randrange(120)] = rng.randrange(1 << 62)
+            sets.append(np.unique(np.array(s, np.uint64)))
+    rng.shuffle(sets)
+    want = {(i, j) for i, j in combinations(range(len(sets)), 2) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+
+    def classes(pairs):
+        up = list(range(len(sets)))
+        for _ in sets:
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    tree = SignatureTree(sets, 4, 5)
+    assert classes(tree.join()) == classes(want) and tree.dropped > 100
+    marks = SignatureTree(None, 4, 5, bitmaps=np.stack([bitmap(s, 256) for s in sets]), sizes=np.array([len(s) for s in sets]))
+    open_pairs = {(min(p), max(p)) for p in marks.join()}
+    assert want <= open_pairs and len(open_pairs) < 2 * len(want) + 50 and marks.dropped > 100
+
+
+def test_similarity_is_checked(spark):
+    for num, den in ((0, 1), (3, 2)):
+        with pytest.raises(ValueError):
+            jaccard_components(spark.createDataFrame([], SCHEMA), num=num, den=den)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  b"), (6, "a"), (None, "a b"), (7, "x " * 5000), (8, "X " * 6000), (9, "a b c")]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)

@@ -46,14 +46,18 @@ class Levels:
     parts more than `spare` are equal, and one that isn't empty unless a set has more
     empty parts than that; such a set also offers its empty parts."""
 
-    def __init__(self, num: int, den: int, ratio: float = 1.4) -> None:
-        self.num, self.den, self.ratio = num, den, ratio
+    def __init__(self, num: int, den: int) -> None:
+        if not 0 < num <= den:
+            raise ValueError("the similarity is num / den, above 0 and at most 1")
+        self.num, self.den = num, den
         self.starts = [1, 2]
         self.parts: dict[int, tuple[int, int]] = {}
 
     def level_of(self, n: int) -> int:
         while self.starts[-1] <= n:
-            self.starts.append(max(self.starts[-1] + 1, math.ceil(self.starts[-1] * self.ratio)))
+            # a set and a larger one that may be as similar are in one class or in neighbours
+            x = self.starts[-1]
+            self.starts.append(max(x + 1, math.ceil(x * 1.4), -(-x * self.den // self.num)))
         import bisect
 
         return bisect.bisect_right(self.starts, n) - 1
@@ -96,6 +100,12 @@ class Levels:
         return np.concatenate(out)
 
 
+    def bits(self, level: int) -> int:
+        """Length of the bitmaps of a level's sets: at least twice the largest size."""
+        while len(self.starts) <= level + 1:
+            self.level_of(self.starts[-1])
+        return 1 << max(8, (2 * (self.starts[level + 1] - 1)).bit_length())
+
     def columns(self, n: Column, most: int = 1 << 40) -> Column:
         """The levels that a set of n elements is in, as an array column."""
         while self.starts[-1] <= most:
@@ -126,32 +136,57 @@ class _Node:
         self.kids, self.members, self.bits, self.low, self.high, self.slack, self.one = kids, members, bits, low, high, slack, False
 
 
+def bitmap(s: np.ndarray, n_bits: int) -> np.ndarray:
+    """The bits of a set's tokens, as 64-bit words."""
+    out = np.zeros(n_bits // 64, np.uint64)
+    b = s & _U(n_bits - 1)
+    np.bitwise_or.at(out, (b >> _U(6)).astype(np.int64), _U(1) << (b & _U(63)))
+    return out
+
+
 class SignatureTree:
     """Sets under a tree: a node holds the OR of its sets' token bitmaps, the range of
     their sizes, and the most tokens of one set that share a bit with another. The
     dual traversal drops a pair of nodes if no pair of sets below can overlap enough:
     common tokens are at most the common bits and the smaller slack. It also drops a
-    pair whose sets are all in one component, as only components are asked for."""
-
-    def __init__(self, sets: list[np.ndarray], num: int, den: int, known: list[int] | None = None, leaf: int = 16, fan: int = 8) -> None:
+    pair whose sets are all in one component, as only components are asked for.
+
+    With `sets`, the links are exact, and `known` components grow by them. Without, the
+    tree has `bitmaps` and `sizes` only, and its links are the pairs of sets of different
+    components that their bitmaps leave open. `dropped` counts pairs of nodes."""
+
+    def __init__(
+        self,
+        sets: list[np.ndarray] | None,
+        num: int,
+        den: int,
+        known: list[int] | None = None,
+        leaf: int = 4,
+        fan: int = 4,
+        bitmaps: np.ndarray | None = None,
+        sizes: np.ndarray | None = None,
+    ) -> None:
         self.sets, self.num, self.den = sets, num, den
-        self.union = _Union(len(sets))
+        self.sizes = np.array([len(s) for s in sets], np.int64) if sets is not None else sizes
+        self.union = _Union(len(self.sizes))
         self.links: list[tuple[int, int]] = []
+        self.dropped = 0
         if known is not None:
             first: dict[int, int] = {}
             for i, c in enumerate(known):
                 j = first.setdefault(c, i)
                 if j != i:
                     self.union.up[i] = j
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        n_bits = 1 << max(8, min(16, int(self.sizes.max() * 2).bit_length()))
-        self.bitmaps = np.zeros((len(sets), n_bits // 64), np.uint64)
-        for i, s in enumerate(sets):
-            b = s & _U(n_bits - 1)
-            np.bitwise_or.at(self.bitmaps[i], (b >> _U(6)).astype(np.int64), _U(1) << (b & _U(63)))
+        if sets is not None:
+            n_bits = 1 << max(8, min(16, int(self.sizes.max() * 2).bit_length()))
+            bitmaps = np.stack([bitmap(s, n_bits) for s in sets])
+            key = lambda i: (int(sets[i][0]), len(sets[i]), i)
+        else:
+            key = lambda i: (bitmaps[i].tobytes(), i)
+        self.bitmaps = bitmaps
         self.slacks = self.sizes - np.bitwise_count(self.bitmaps).sum(1)
-        # alike sets have, mostly, the same least token
-        order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i]), i))
+        # alike sets have, mostly, the same least token, and much the same first bits
+        order = sorted(range(len(self.sizes)), key=key)
         level = [self._leaf(order[i : i + leaf]) for i in range(0, len(order), leaf)]
         while len(level) > 1:
             level = [self._inner(level[i : i + fan]) for i in range(0, len(level), fan)]
@@ -188,7 +223,8 @@ class SignatureTree:
         return most * (self.den + self.num) < self.num * (x.low + y.low)
 
     def join(self) -> list[tuple[int, int]]:
-        """Links that connect every component; not every link inside one."""
+        """Links that connect every component, not every link inside one; without sets,
+        all open pairs of different components."""
         stack = [(self.root, self.root)]
         find = self.union.find
         while stack:
@@ -196,6 +232,7 @@ class SignatureTree:
             if self._one(x) and (x is y or (self._one(y) and find(self._some(x)) == find(self._some(y)))):
                 continue
             if x is not y and self._hopeless(x, y):
+                self.dropped += 1
                 continue
             if x.kids is None and y.kids is None:
                 self._leaves(x, y)
@@ -218,6 +255,9 @@ class SignatureTree:
             p, q = int(a[i]), int(b[j])
             if (x is y and p >= q) or find(p) == find(q):
                 continue
+            if self.sets is None:
+                self.links.append((p, q))
+                continue
             both = len(np.intersect1d(self.sets[p], self.sets[q], assume_unique=True))
             if both and self.den * both >= self.num * (len(self.sets[p]) + len(self.sets[q]) - both):
                 self.union.up[find(p)] = find(q)
@@ -319,6 +359,41 @@ def _tree_links(num: int, den: int):
     return run
 
 
+def _open_pairs(num: int, den: int):
+    """Pairs (a, b) that bitmaps leave open, from rows by family, x, y: id, known, n and
+    bits. x and y say which pairs are to be met: members of block x, side 0, with strays
+    of cut y, side 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, 3):
+            seen = sorted(set(rows))
+            if len(seen) < 2:
+                continue
+            ids, known, sizes, bits = zip(*seen)
+            maps = np.frombuffer(b"".join(bits), np.uint64).reshape(len(ids), -1)
+            tree = SignatureTree(None, num, den, list(known), bitmaps=maps, sizes=np.array(sizes, np.int64))
+            links = tree.join()
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([min(ids[p], ids[q]) for p, q in links], pa.int64()), pa.array([max(ids[p], ids[q]) for p, q in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _exact(num: int, den: int):
+    """Of rows (a, b, set of a, set of b), the pairs that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                yes.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
+
+    return run
+
+
 def jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -340,8 +415,9 @@ def jaccard_components(
     3. Each family is joined by a signature tree. A large family is dealt into blocks
        of bounded rows and tokens, each with the same few hubs; components follow from
        the blocks' links. Where a large family is still in several components, what
-       lies outside its largest one is joined with every block. No pair of different
-       components goes unchecked.
+       lies outside its largest one meets every block by bitmaps, a thirtieth of the
+       sets, in trees of their own; the sets of the pairs that stay open are compared. No
+       pair of different components goes unchecked.
 
     Null and empty texts have no shingle and are linked with nothing. Rows of a null
     id form no link and have a null component. Rows with equal ids count as one
@@ -349,6 +425,7 @@ def jaccard_components(
     ignored.
     """
     levels = (num, den)
+    Levels(*levels)  # checks them before any work
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,25 +451,32 @@ def jaccard_components(
     reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = rows.where("digest IS NOT NULL").select("digest", "doc_id").join(reps, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     in_family = reps.join(shared, reps["rep"] == shared["id"]).select("rep", F.explode(Levels(*levels).columns(F.col("n"))).alias("level"), "root", "n")
-    in_family = in_family.select("rep", F.xxhash64("root", "level").alias("family"), "n")
+    in_family = in_family.select("rep", F.xxhash64("root", "level").alias("family"), "level", "n")
     stats = in_family.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("tokens") / block_tokens)).cast("int")
     members = stored(
-        in_family.join(stats.select("family", blocks.alias("blocks")), "family").select("rep", "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")).distinct()
+        in_family.join(stats.select("family", blocks.alias("blocks")), "family").select("rep", "family", "level", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")).distinct()
     )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                out = [shingles(t, width).tobytes() for t in part.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(out, pa.binary())], names=["family", "blocks", "block", "id", "set"])
+                out = [shingles(t, width).tobytes() for t in part.column(5).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(out, pa.binary())], names=["family", "level", "blocks", "block", "id", "set"])
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lv = Levels(*levels)
+        for batch in batches:
+            found = [np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist()]
+            bits = [bitmap(x, lv.bits(k)).tobytes() for x, k in zip(found, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (2, 3)), pa.array([len(x) for x in found], pa.int64()), pa.array(bits, pa.binary())], names=["family", "block", "id", "n", "bits"])
 
     # a shuffle join at every size, as members grow with the documents
     with_sets = (
         base.join(members.hint("merge"), base["doc_id"] == members["rep"])
-        .select("family", "blocks", "block", "doc_id", "text")
-        .mapInArrow(sets, "family bigint, blocks int, block int, id bigint, set binary")
+        .select("family", "level", "blocks", "block", "doc_id", "text")
+        .mapInArrow(sets, "family bigint, level int, blocks int, block int, id bigint, set binary")
         .where(F.octet_length("set") > 0)
     )
     large = not members.where("blocks > 1").isEmpty()
@@ -410,15 +494,21 @@ def jaccard_components(
         hub = many.join(order.select("family", F.explode("hubs").alias("id")), ["family", "id"]).select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.lit(0).alias("y"), "id", none, "set")
         first = stored(link(with_sets.select("family", F.col("block").alias("x"), F.lit(0).alias("y"), "id", none, "set").union(hub)))
         known = components(first)
-        named = many.join(known, "id", "left").withColumn("known", F.coalesce("root", "id")).drop("root")
-        parts = stored(named.groupBy("family", "known").agg(F.count("*").alias("m"), F.sum(F.octet_length("set") / 8).alias("tokens")))
-        main = parts.groupBy("family").agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.count("*").alias("k"), (F.sum("m") - F.max("m")).alias("rest"), F.sum("tokens").alias("tokens")).where("k > 1")
-        cuts = F.greatest(F.ceil(F.col("rest") / block_rows), F.ceil(F.col("tokens") / block_tokens * F.col("rest") / (F.col("rest") + 1))).cast("int")
+        # beyond here, sets go as bitmaps
+        marks = many.select("family", "level", "block", "id", "set").mapInArrow(bits_of, "family bigint, block int, id bigint, n bigint, bits binary")
+        named = stored(marks.join(known, "id", "left").withColumn("known", F.coalesce("root", "id")).drop("root"))
+        parts = stored(named.groupBy("family", "known").agg(F.count("*").alias("m")))
+        main = parts.groupBy("family").agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.count("*").alias("k"), (F.sum("m") - F.max("m")).alias("rest")).where("k > 1")
+        cuts = F.ceil(F.col("rest") / block_rows).cast("int")
         open_ = named.join(main.select("family", "main", cuts.alias("cuts")), "family")
         stray = open_.where("known <> main").withColumn("cut", F.pmod(F.xxhash64("id", F.lit(1)), F.col("cuts")).cast("int"))
-        tasks = open_.select("family", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("y"), "id", "known", "set").union(
-            stray.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("cut").alias("y"), "id", "known", "set")
+        tasks = open_.select("family", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("y"), "id", "known", "n", "bits").union(
+            stray.join(members.select("family", "blocks").distinct(), "family").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("cut").alias("y"), "id", "known", "n", "bits")
         )
-        edges = classes.union(first).union(link(tasks))
+        pairs = stored(tasks.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_open_pairs(num, den), "a bigint, b bigint").distinct())
+        one = many.select("id", "set").dropDuplicates(["id", "set"])
+        side = lambda i, x: one.select(F.col("id").alias(i), F.col("set").alias(x)).join(pairs.select(i).distinct(), i, "left_semi")
+        late = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_exact(num, den), "a bigint, b bigint")
+        edges = classes.union(first).union(late)
     found = components(edges)
     return rows.select("doc_id", "n").join(found, rows["doc_id"] == found["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
