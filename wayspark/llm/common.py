@@ -29,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def give_back() -> None:
+    """Return the memory that a task's objects held to the system: Python workers stay
+    for later tasks, beside the executor's own memory."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # of the GNU C library
+        trim(0)
+
+
 _RECORDS: list[list[str]] = []
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, give_back, stored
 
 _U = np.uint64
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)]
@@ -444,6 +444,7 @@ def jaccard_components(
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sig])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sig) if sig else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), lists], names=["doc_id", "n", "digest", "sigs"])
+        give_back()
 
     rows = stored(base.mapInArrow(describe, "doc_id bigint, n bigint, digest binary, sigs array<bigint>"))
     met = groups(rows.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("id")))
@@ -464,6 +465,7 @@ def jaccard_components(
                 part = batch.slice(lo, 500)
                 out = [shingles(t, width).tobytes() for t in part.column(5).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(out, pa.binary())], names=["family", "level", "blocks", "block", "id", "set"])
+        give_back()
 
     def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = Levels(*levels)

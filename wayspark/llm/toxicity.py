@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 _WORDS = re.compile(r"[^\W_]+").findall
 _GRAMS = (3, 4, 5)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -385,6 +387,8 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
                 s = scorer.scores([t or "" for t in part.column(0).to_pylist()])
                 cols = [part.column(i) for i in range(1, part.num_columns)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64())], names=[*part.schema.names[1:], "score"])
+        scorer.reset()
+        give_back()
 
     base = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[1:]]
