@@ -31,3 +31,67 @@ def test_new_forms_in_known_contexts(spark):
     assert got["on page 1234-5 it says"] == ""
     three = f"here reach-me {far} there"
     assert got[three] == span(three, "phone", far)
+
+
+def plain_scores(edges, rounds, confidence, seeds, damping):
+    """The patterns and kinds that plain loops over the graph give."""
+    kind = {}
+    for p, i, k in edges:
+        kind[p, i] = max(kind.get((p, i), ""), k)
+    pats = {}
+    for p, i in kind:
+        pats.setdefault(p, set()).add(i)
+    pats = {p: s for p, s in pats.items() if len(s) >= seeds}
+    nodes = {i for s in pats.values() for i in s}
+    base = {i: max(k for (p, j), k in kind.items() if j == i and p in pats) for i in nodes}
+    held = {i: base[i] or None for i in nodes}
+    score = {i: 1.0 if held[i] else 0.0 for i in nodes}
+
+    def judged():
+        out = {}
+        for p, s in pats.items():
+            c = sum(score[i] for i in s) / len(s)
+            with_kind = [held[i] for i in s if held[i]]
+            best = max(((with_kind.count(k), k) for k in set(with_kind)), default=None)
+            out[p] = (c, best[1] if best and len(with_kind) >= seeds and c >= confidence - 1e-12 else None)
+        return out
+
+    before = -1
+    for _ in range(rounds):
+        n = sum(h is not None for h in held.values())
+        if n == before:
+            break
+        before = n
+        now = judged()
+        new_held, new_score = {}, {}
+        for i in nodes:
+            mine = [now[p] for p, s in pats.items() if i in s]
+            sure = max(((c, k) for c, k in mine if k), default=None)
+            new_held[i] = base[i] or (sure[1] if sure else None)
+            new_score[i] = 1.0 if base[i] else sure[0] if sure else max(c * damping for c, _ in mine)
+        held, score = new_held, new_score
+    return {(p, k) for p, (_, k) in judged().items() if k}
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    """Random graphs, and a chain in which each pattern is found by what the one before
+    it held: the last has no base seed, and needs as many turns."""
+    import random
+
+    rng = random.Random(6)
+    graphs = []
+    for _ in range(4):
+        graphs.append([(p, i, rng.choice(["email", "phone"]) if i % 3 else "") for p in range(12) for i in rng.sample(range(60), rng.randint(2, 15))])
+    chain = [(0, i, "email") for i in range(40)] + [(0, 100 + i, "") for i in range(4)]
+    for step in range(1, 6):
+        chain += [(step, 100 * step + i, "") for i in range(4)] + [(step, 100 * (step + 1), "")] * (step < 0)
+        chain += [(step + 10, 100 * step + i, "") for i in range(4)] + [(step + 10, 40_000 + 100 * step + i, "") for i in range(0)]
+    graphs.append(chain)
+    for edges in graphs:
+        # one kind an instance, as a token has
+        kind = {}
+        edges = [(p, i, kind.setdefault(i, k)) for p, i, k in edges]
+        df = spark.createDataFrame(edges, "p bigint, i bigint, k string")
+        got = {tuple(r) for r in pii.score_patterns(df, 20, 0.9, 3, 0.5).collect()}
+        assert got == plain_scores(edges, 20, 0.9, 3, 0.5)
+    assert (0, "email") in got and (11, "email") in got

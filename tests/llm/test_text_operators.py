@@ -185,6 +185,48 @@ def test_html_main_text():
     assert html_extract.main_text("a < b & c") == "a < b & c"
 
 
+def test_html_scores_choose(monkeypatch):
+    # no article element, classes that say nothing
+    text = "A sentence of the story, with commas, and a point. " * 4
+    page = "<body><div class=q1><ul>" + "<li><a href=x>One link</a>" * 30 + "</ul></div><div class=q2><h2>Title of it</h2>" + f"<p>{text}</p>" * 3 + "</div><div class=q3>Small print</div></body>"
+    want = "\n".join(["Title of it", *[text.strip()] * 3])
+    assert html_extract.main_text(page) == want
+    # a short article beside a longer notice of a name that says so
+    short = f"<body><div class=ad>{text}</div><article><h1>Head</h1><p>Short one.</p></article></body>"
+    assert html_extract.main_text(short) == "Head\nShort one."
+    monkeypatch.setattr(html_extract, "content_nodes", lambda found: [True] * len(found))
+    assert html_extract.main_text(page) != want and html_extract.main_text(short) != "Head\nShort one."
+
+
+def test_content_nodes_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(30):
+        parts = [f"<{(t := rng.choice(['p', 'div', 'li', 'h2']))}>{'word, ' * rng.randint(0, 30)}x{i}</{t}>" for i in range(rng.randint(1, 25))]
+        page = f"<body><article>{''.join(parts[:9])}</article><div class=menu>{''.join(parts[9:14])}</div>{''.join(parts[14:])}</body>"
+        _, found = html_extract.blocks(page)
+
+        def path(x):
+            return path(x.parent) + "/" + x.tag if x.parent else ""
+
+        paths = [path(x) for x, _ in found]
+        mean = lambda p, f: sum(f(t) for q, (_, t) in zip(paths, found) if q == p) / paths.count(p)
+        near = lambda v, i: sum(v[j] * 0.5 ** abs(i - j) for j in range(len(v)) if abs(i - j) <= 2) / sum(0.5 ** abs(i - j) for j in range(len(v)) if abs(i - j) <= 2)
+        size, marks = [mean(p, len) for p in paths], [mean(p, lambda t: t.count(",")) for p in paths]
+        names = [0.02 if 9 <= i < 14 else 4 if i < 9 else 1 for i in range(len(found))]
+        fused = [near(size, i) * (1 + near(marks, i)) * names[i] for i in range(len(found))]
+        bar = min(float(np.std(fused)), max(fused))
+        assert [f >= bar - 1e-9 for f in fused] == [y or abs(f - bar) < 1e-9 for y, f in zip(html_extract.content_nodes(found), fused)]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for opened, closed in (("<div>", "</div>"), ("<td><div><p>", "</b></div>"), ("<span><b>", "</i></span>")):
+        start = time.time()
+        assert html_extract.main_text(opened * 100_000 + "hello there, you." + closed * 100_000) == "hello there, you."
+        assert time.time() - start < 30
+
+
 def test_html_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (2, None, "", "x"), (None, "v", "<p>hi there.</p>" * 2, "x")], "page_id bigint, url string, html string, text string")
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract_pages(df).collect()), key=str)

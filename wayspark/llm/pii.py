@@ -76,20 +76,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def shape(token: str) -> str:
     """Letters a, digits 9, runs collapsed: the lexical shape of a token."""
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", token))[:24]
+    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", token))
 
 
 def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, str]]:
     """(start, end, pattern, instance, kind) of identifier-like tokens, one for each of
     a token's patterns: hashes of one or two words to the left, of two to the right, of
     one on either side, all lower case, and of the word to the left with the token's
-    shape. kind is the base kind that the token belongs to, or empty. Base spans are instances of their
-    own; the tokens that they touch are not looked at again."""
+    shape. kind is the base kind that the token belongs to, or empty. Base spans are
+    instances of their own; the tokens that they touch are not looked at again. Words
+    are read in the 128 characters on either side."""
     out = []
 
     def add(a: int, b: int, kind: str) -> None:
-        left = [w for x in text[max(0, a - 128) : a].split()[-2:] if (w := x.strip("*#%&$|").lower()[:48])]
-        right = [w for x in text[b : b + 128].split()[:3] if (w := x.strip(_EDGE).lower()[:48])][:2]
+        left = [w for x in text[max(0, a - 128) : a].split()[-2:] if (w := x.strip("*#%&$|").lower())]
+        right = [w for x in text[b : b + 128].split()[:3] if (w := x.strip(_EDGE).lower())][:2]
         contexts = []
         if left:
             contexts += [("l", left[-1]), ("s", left[-1], shape(text[a:b]))]
@@ -113,7 +114,7 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
             raw = m.group()
             left = len(raw) - len(raw.lstrip(_EDGE))
             a, b = m.start() + left, m.start() + len(raw.rstrip(_EDGE))
-            if b - a < 5 or b - a > 128:
+            if b <= a:
                 continue
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
@@ -128,7 +129,7 @@ def _text_of(spans: list[tuple[str, int, int]]) -> str:
 
 
 def extract(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, confidence: float = 0.9, seeds: int = 3, damping: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 20, confidence: float = 0.9, seeds: int = 3, damping: float = 0.5
 ) -> DataFrame:
     """Spans of personal data.
 
@@ -137,7 +138,7 @@ def extract(
     a pattern (words to the left, to the right or on both sides; the token's shape is
     in one of five) is scored by the share of its distinct instances that are held for
     personal data, an instance by the best pattern that it occurs with, in turns over the
-    whole corpus. Instances of a pattern of at least `confidence`, with `seeds` distinct
+    whole corpus, until no further instance is held (or for `rounds` turns). Instances of a pattern of at least `confidence`, with `seeds` distinct
     held instances or more, are held in the next turn and seed further patterns. Tokens
     that no base kind covers and that stand in such a pattern at the end are added, under
     the kind that most of their patterns have, with a leading x_, behind the base spans.
@@ -211,7 +212,12 @@ def score_patterns(spots: DataFrame, rounds: int, confidence: float, seeds: int,
         whole = by_kind.groupBy("p").agg((F.sum("s") / F.sum("n")).alias("c"), F.sum(held).alias("n_held"), F.max(F.when(F.col("held").isNotNull(), F.struct("n", "held"))).alias("best"))
         return whole.select("p", "c", F.when((F.col("n_held") >= seeds) & (F.col("c") >= confidence), F.col("best.held")).alias("kind"))
 
+    held_before = -1
     for _ in range(rounds):
+        n_held = scores.where("held IS NOT NULL").count()
+        if n_held == held_before:
+            break
+        held_before = n_held
         score = F.when(F.col("kind").isNotNull(), F.col("c")).otherwise(F.col("c") * damping)
         found = live.join(patterns(), "p").groupBy("i").agg(base, F.max(score).alias("best"), F.max(F.when(F.col("kind").isNotNull(), F.struct("c", "kind"))).alias("sure"))
         scores = stored(found.select("i", F.when(F.col("held").isNotNull(), 1.0).otherwise(F.coalesce("sure.c", "best")).alias("s"), F.coalesce("held", "sure.kind").alias("held")))
