@@ -56,9 +56,9 @@ def plain_scores(edges, rounds, confidence, seeds, damping):
             out[p] = (c, best[1] if best and len(with_kind) >= seeds and c >= confidence - 1e-12 else None)
         return out
 
-    before = -1
+    before = None
     for _ in range(rounds):
-        n = sum(h is not None for h in held.values())
+        n = sum(h is not None for h in held.values()), round(sum(score.values()), 6)
         if n == before:
             break
         before = n

@@ -138,7 +138,7 @@ def extract(
     a pattern (words to the left, to the right or on both sides; the token's shape is
     in one of five) is scored by the share of its distinct instances that are held for
     personal data, an instance by the best pattern that it occurs with, in turns over the
-    whole corpus, until no further instance is held (or for `rounds` turns). Instances of a pattern of at least `confidence`, with `seeds` distinct
+    whole corpus, until no score changes (or for `rounds` turns). Instances of a pattern of at least `confidence`, with `seeds` distinct
     held instances or more, are held in the next turn and seed further patterns. Tokens
     that no base kind covers and that stand in such a pattern at the end are added, under
     the kind that most of their patterns have, with a leading x_, behind the base spans.
@@ -212,12 +212,12 @@ def score_patterns(spots: DataFrame, rounds: int, confidence: float, seeds: int,
         whole = by_kind.groupBy("p").agg((F.sum("s") / F.sum("n")).alias("c"), F.sum(held).alias("n_held"), F.max(F.when(F.col("held").isNotNull(), F.struct("n", "held"))).alias("best"))
         return whole.select("p", "c", F.when((F.col("n_held") >= seeds) & (F.col("c") >= confidence), F.col("best.held")).alias("kind"))
 
-    held_before = -1
+    before = None
     for _ in range(rounds):
-        n_held = scores.where("held IS NOT NULL").count()
-        if n_held == held_before:
+        now = scores.agg(F.count("held"), F.round(F.sum("s"), 6)).first()
+        if now == before:
             break
-        held_before = n_held
+        before = now
         score = F.when(F.col("kind").isNotNull(), F.col("c")).otherwise(F.col("c") * damping)
         found = live.join(patterns(), "p").groupBy("i").agg(base, F.max(score).alias("best"), F.max(F.when(F.col("kind").isNotNull(), F.struct("c", "kind"))).alias("sure"))
         scores = stored(found.select("i", F.when(F.col("held").isNotNull(), 1.0).otherwise(F.coalesce("sure.c", "best")).alias("s"), F.coalesce("held", "sure.kind").alias("held")))
