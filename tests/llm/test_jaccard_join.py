@@ -83,6 +83,9 @@ def test_node_pairs_are_dropped():
     marks = SignatureTree(None, 4, 5, bitmaps=np.stack([bitmap(s, 256) for s in sets]), sizes=np.array([len(s) for s in sets]))
     open_pairs = {(min(p), max(p)) for p in marks.join()}
     assert want <= open_pairs and len(open_pairs) < 2 * len(want) + 50 and marks.dropped > 100
+    sides = np.array([i % 2 for i in range(len(sets))])
+    two = SignatureTree(None, 4, 5, bitmaps=marks.bitmaps, sizes=marks.sizes, sides=sides)
+    assert {(min(p), max(p)) for p in two.join()} == {(i, j) for i, j in open_pairs if sides[i] != sides[j]}
 
 
 def test_similarity_is_checked(spark):

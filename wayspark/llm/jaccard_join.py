@@ -153,7 +153,9 @@ class SignatureTree:
 
     With `sets`, the links are exact, and `known` components grow by them. Without, the
     tree has `bitmaps` and `sizes` only, and its links are the pairs of sets of different
-    components that their bitmaps leave open. `dropped` counts pairs of nodes."""
+    components that their bitmaps leave open; with `sides`, 0 or 1, the pairs of one side
+    with the other. Leaves grow with the number of sets, from 4 to 64, which only weighs
+    numpy's work against Python's. `dropped` counts pairs of nodes."""
 
     def __init__(
         self,
@@ -161,36 +163,47 @@ class SignatureTree:
         num: int,
         den: int,
         known: list[int] | None = None,
-        leaf: int = 4,
+        leaf: int | None = None,
         fan: int = 4,
         bitmaps: np.ndarray | None = None,
         sizes: np.ndarray | None = None,
+        sides: np.ndarray | None = None,
     ) -> None:
         self.sets, self.num, self.den = sets, num, den
         self.sizes = np.array([len(s) for s in sets], np.int64) if sets is not None else sizes
         self.union = _Union(len(self.sizes))
         self.links: list[tuple[int, int]] = []
         self.dropped = 0
+        self.known = np.arange(len(self.sizes))
         if known is not None:
             first: dict[int, int] = {}
             for i, c in enumerate(known):
                 j = first.setdefault(c, i)
                 if j != i:
-                    self.union.up[i] = j
+                    self.union.up[i] = self.known[i] = j
         if sets is not None:
             n_bits = 1 << max(8, min(16, int(self.sizes.max() * 2).bit_length()))
             bitmaps = np.stack([bitmap(s, n_bits) for s in sets])
             key = lambda i: (int(sets[i][0]), len(sets[i]), i)
         else:
-            key = lambda i: (bitmaps[i].tobytes(), i)
+            key = lambda i: (int(sizes[i]), bitmaps[i].tobytes(), i)
         self.bitmaps = bitmaps
         self.slacks = self.sizes - np.bitwise_count(self.bitmaps).sum(1)
-        # alike sets have, mostly, the same least token, and much the same first bits
+        leaf = leaf or max(4, min(64, len(self.sizes) // 64))
+
+        def root(order: list[int]) -> _Node:
+            level = [self._leaf(order[i : i + leaf]) for i in range(0, len(order), leaf)]
+            while len(level) > 1:
+                level = [self._inner(level[i : i + fan]) for i in range(0, len(level), fan)]
+            return level[0]
+
+        # alike sets have, mostly, the same least token, or else about the same size
         order = sorted(range(len(self.sizes)), key=key)
-        level = [self._leaf(order[i : i + leaf]) for i in range(0, len(order), leaf)]
-        while len(level) > 1:
-            level = [self._inner(level[i : i + fan]) for i in range(0, len(level), fan)]
-        self.root = level[0]
+        if sides is None:
+            self.start = [(x := root(order), x)]
+        else:
+            both = [[i for i in order if sides[i] == k] for k in (0, 1)]
+            self.start = [(root(both[0]), root(both[1]))] if both[0] and both[1] else []
 
     def _leaf(self, members: list[int]) -> _Node:
         m = np.array(members)
@@ -225,7 +238,7 @@ class SignatureTree:
     def join(self) -> list[tuple[int, int]]:
         """Links that connect every component, not every link inside one; without sets,
         all open pairs of different components."""
-        stack = [(self.root, self.root)]
+        stack = list(self.start)
         find = self.union.find
         while stack:
             x, y = stack.pop()
@@ -250,6 +263,7 @@ class SignatureTree:
         most = common + np.minimum(self.slacks[a][:, None], self.slacks[b][None])
         need = self.sizes[a][:, None] + self.sizes[b][None]
         may = most * (self.den + self.num) >= self.num * need
+        may &= self.known[a][:, None] != self.known[b][None]
         find = self.union.find
         for i, j in zip(*np.nonzero(may)):
             p, q = int(a[i]), int(b[j])
@@ -360,18 +374,17 @@ def _tree_links(num: int, den: int):
 
 
 def _open_pairs(num: int, den: int):
-    """Pairs (a, b) that bitmaps leave open, from rows by family, x, y: id, known, n and
-    bits. x and y say which pairs are to be met: members of block x, side 0, with strays
-    of cut y, side 1."""
+    """Pairs (a, b) that bitmaps leave open, from rows by family, x, y: side, id, known,
+    n and bits. Members of block x, side 0, meet strays of cut y, side 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 3):
             seen = sorted(set(rows))
             if len(seen) < 2:
                 continue
-            ids, known, sizes, bits = zip(*seen)
+            sides, ids, known, sizes, bits = zip(*seen)
             maps = np.frombuffer(b"".join(bits), np.uint64).reshape(len(ids), -1)
-            tree = SignatureTree(None, num, den, list(known), bitmaps=maps, sizes=np.array(sizes, np.int64))
+            tree = SignatureTree(None, num, den, list(known), bitmaps=maps, sizes=np.array(sizes, np.int64), sides=np.array(sides))
             links = tree.join()
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([min(ids[p], ids[q]) for p, q in links], pa.int64()), pa.array([max(ids[p], ids[q]) for p, q in links], pa.int64())], names=["a", "b"])
@@ -504,8 +517,8 @@ def jaccard_components(
         cuts = F.ceil(F.col("rest") / block_rows).cast("int")
         open_ = named.join(main.select("family", "main", cuts.alias("cuts")), "family")
         stray = open_.where("known <> main").withColumn("cut", F.pmod(F.xxhash64("id", F.lit(1)), F.col("cuts")).cast("int"))
-        tasks = open_.select("family", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("y"), "id", "known", "n", "bits").union(
-            stray.join(members.select("family", "blocks").distinct(), "family").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("cut").alias("y"), "id", "known", "n", "bits")
+        tasks = open_.select("family", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("y"), F.lit(0).alias("side"), "id", "known", "n", "bits").union(
+            stray.join(members.select("family", "blocks").distinct(), "family").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("cut").alias("y"), F.lit(1).alias("side"), "id", "known", "n", "bits")
         )
         pairs = stored(tasks.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_open_pairs(num, den), "a bigint, b bigint").distinct())
         one = many.select("id", "set").dropDuplicates(["id", "set"])

@@ -250,7 +250,9 @@ def train(texts: list[str], labels: np.ndarray, sizes: Sizes | None = None, roun
     sizes = sizes or Sizes()
     rng = np.random.default_rng(seed)
     net = Network(sizes).init(rng)
-    docs = [tokens(t) for t in texts]
+    # one object for each distinct word, as the texts' words are held throughout
+    same: dict[str, str] = {}
+    docs = [[same.setdefault(w, w) for w in tokens(t)] for t in texts]
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         net.p["platt"][:] = [0.0, 2.0 if len(y) and y[0] else -2.0]
@@ -358,13 +360,19 @@ def held_out(id_col: str) -> F.Column:
 def fit_model(docs: DataFrame, labels: DataFrame, positives: int = 800, negatives: int = 1600, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """Train on a sample of labelled rows that is bounded by positives and negatives
     (the first of each label by a hash of the id), none of them held out."""
+    give_back()  # what the driver's earlier work held
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = lambda t, n: marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = by_hash(1, positives).union(by_hash(0, negatives))
     # of bounded size: positives + negatives ids
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     got = base.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * (positives + negatives)).toPandas()
-    return train(got["text"].fillna("").tolist(), got["toxic"].to_numpy())
+    texts, toxic = got["text"].fillna("").tolist(), got["toxic"].to_numpy()
+    del got
+    net = train(texts, toxic)
+    del texts
+    give_back()
+    return net
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
