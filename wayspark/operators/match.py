@@ -13,36 +13,65 @@ from pyspark.sql import functions as F
 from wayspark.functions import seq
 
 
+#: Cells of a segment's key. A busy cell is in many keys, each as rare as the way it starts.
+_KEY = 3
+
+
+def _segments(corridors: DataFrame) -> DataFrame:
+    """(corridor, n_segs, ids): the segments of each corridor, as one string each."""
+    return corridors.select("corridor", F.size("segments").alias("n_segs"), F.transform("segments", seq.key).alias("ids"))
+
+
 def occurrences(trips: DataFrame, corridors: DataFrame) -> DataFrame:
-    """(trip_id, corridor, seg_no, n_segs, at, stop) of every place where a segment stands.
+    """(trip_id, seg, at, stop) of every place where a segment of any corridor stands,
+    each distinct segment once, whichever corridors have it.
 
-    Segments meet the trips' cells on their first cell; the rest is compared in place.
+    Segments meet trips on their first cells, three of them where they have as many.
+    Places carry no cells: those of longer segments are looked up by trip afterwards.
     Neither side is broadcast by hand: which one is small is Spark's to see."""
-    segs = corridors.select("corridor", F.size("segments").alias("n_segs"), F.posexplode("segments").alias("seg_no", "seg")).withColumn("head", F.get("seg", F.lit(0)))
-    places = trips.select("trip_id", "cells", F.posexplode("cells").alias("at", "head"))
-    hit = places.join(segs, "head").where(F.slice("cells", F.col("at") + 1, F.greatest(F.size("seg"), F.lit(1))) == F.col("seg"))
-    return hit.select("trip_id", "corridor", "seg_no", "n_segs", "at", (F.col("at") + F.size("seg")).alias("stop"))
+    segs = corridors.select(F.explode("segments").alias("cells")).where(F.size("cells") > 0).select(seq.key(F.col("cells")).alias("seg"), "cells").dropDuplicates(["seg"])
+    segs = segs.select("seg", F.col("cells").alias("way"), F.size("cells").alias("n"), seq.key(F.slice("cells", 1, _KEY)).alias("key"))
+    heads = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(_KEY), F.size("cells") - i)), lambda n: seq.key(F.slice("cells", i + 1, n)))
+    places = trips.where(F.size("cells") > 0).select("trip_id", F.posexplode(F.transform("cells", lambda x, i: heads(i))).alias("at", "keys"))
+    hit = places.select("trip_id", "at", F.explode("keys").alias("key")).join(segs, "key").select("trip_id", "at", "seg", "way", "n")
+    whole = hit.where(F.col("n") <= _KEY)
+    long = hit.where(F.col("n") > _KEY).join(trips.select("trip_id", "cells"), "trip_id").where(F.slice("cells", F.col("at") + 1, F.col("n")) == F.col("way"))
+    return whole.select("trip_id", "seg", "at", (F.col("at") + F.col("n")).alias("stop")).unionByName(long.select("trip_id", "seg", "at", (F.col("at") + F.col("n")).alias("stop")))
 
 
 def spans(trips: DataFrame, corridors: DataFrame, max_gap: int, most_segments: int | None = None) -> DataFrame:
     """(trip_id, corridor, start, stop): per supporting trip the earliest start, then
-    the least end. Segment after segment, reachable ends carry their best start."""
+    the least end.
+
+    Corridors are read as a trie of their segments, so that what many of them begin with
+    is followed once: a beginning, with every end that it reaches in a trip and the best
+    start of that end, meets the trip's occurrences within the gap, and goes on where
+    the trie does."""
     occ = occurrences(trips, corridors)
-    n = most_segments if most_segments is not None else (corridors.agg(F.max(F.size("segments"))).first()[0] or 0)
-    reach = occ.where("seg_no = 0").select("trip_id", "corridor", "n_segs", F.col("at").alias("start"), "stop")
-    done = reach.where("n_segs = 1")
+    named = _segments(corridors)
+    n = most_segments if most_segments is not None else (named.agg(F.max("n_segs")).first()[0] or 0)
+    begun = lambda i: F.array_join(F.slice("ids", 1, i), " ~ ")
+    first = named.where("n_segs >= 1").select(begun(1).alias("seg")).distinct()
+    reach = occ.join(first, "seg", "left_semi").select("trip_id", F.col("seg").alias("begun"), F.col("at").alias("start"), "stop")
+    ended = lambda r, i: r.join(named.where(F.col("n_segs") == i).select(begun(i).alias("begun"), "corridor"), "begun").select("trip_id", "corridor", "start", "stop")
+    done = ended(reach, 1)
+    nxt = occ.select("trip_id", F.col("seg").alias("__seg"), F.col("at").alias("__at"), F.col("stop").alias("__stop"))
     for i in range(1, n):
-        nxt = occ.where(F.col("seg_no") == i).select("trip_id", "corridor", F.col("at").alias("__at"), F.col("stop").alias("__stop"))
+        trie = named.where(F.col("n_segs") > i).select(begun(i).alias("begun"), F.get("ids", F.lit(i)).alias("__seg"), begun(i + 1).alias("__to")).distinct()
         reach = (
-            reach.where(F.col("n_segs") > i)
-            .join(nxt, ["trip_id", "corridor"])
+            reach.join(trie.select("begun").distinct(), "begun", "left_semi")
+            .join(nxt.join(trie.select("__seg").distinct(), "__seg", "left_semi"), "trip_id")
             .where(F.col("__at").between(F.col("stop"), F.col("stop") + max_gap))
-            .groupBy("trip_id", "corridor", "n_segs", F.col("__stop").alias("stop"))
+            .join(trie, ["begun", "__seg"])
+            .groupBy("trip_id", F.col("__to").alias("begun"), F.col("__stop").alias("stop"))
             .agg(F.min("start").alias("start"))
-            .select("trip_id", "corridor", "n_segs", "start", "stop")
+            .select("trip_id", "begun", "start", "stop")
         )
-        done = done.unionByName(reach.where(F.col("n_segs") == i + 1))
-    return done.groupBy("trip_id", "corridor").agg(F.min(F.struct("start", "stop")).alias("s")).select("trip_id", "corridor", "s.start", "s.stop")
+        done = done.unionByName(ended(reach, i + 1))
+    # the earliest start, then the least end, as one number
+    both = F.min(F.col("start").cast("bigint") * (1 << 31) + F.col("stop"))
+    best = done.groupBy("trip_id", "corridor").agg(both.alias("s"))
+    return best.select("trip_id", "corridor", F.shiftright("s", 31).cast("int").alias("start"), F.col("s").bitwiseAND(F.lit((1 << 31) - 1).cast("bigint")).cast("int").alias("stop"))
 
 
 def support(trips: DataFrame, corridors: DataFrame, max_gap: int, most_segments: int | None = None) -> DataFrame:
