@@ -25,6 +25,8 @@ class Params:
     km_per_lng: float = 83.8287
     km_per_lat: float = 111.1949
     edge_km: tuple[tuple[int, float], ...] = ((8, 0.461), (9, 0.174), (10, 0.066))
+    # resolution 11, of ridges only
+    ridge_edge_km: float = 0.025
     # mining
     max_gap: int = 8
     max_tortuosity: float = 2.5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -103,12 +103,13 @@ def elevation(trips: DataFrame) -> DataFrame:
     return t.select(F.explode(both).alias("e")).groupBy("e.cell").agg(F.sum("e.w").alias("elevation"))
 
 
-def ridges(field: DataFrame, peaks: int = 5000, routes: int = 100, first_cap: int = 150, cap: int = 300, stop: float = 0.05, min_cells: int = 15, keep_cells: int = 200_000) -> list[dict]:
+def ridges(field: DataFrame, peaks: int = 5000, routes: int = 100, first_cap: int = 150, cap: int = 300, stop: float = 0.05, min_cells: int = 15) -> list[dict]:
     """Greedy walks along the crest: from each unused peak both ways to the highest
     unused neighbour, until it falls below a share of the peak. Walks use up their
     cells even if they are too short to report. The walk is sequential, so it runs on
-    the driver over the field's highest cells, whose number is a parameter."""
-    rows = field.orderBy(F.desc("elevation"), "cell").limit(keep_cells).collect()
+    the driver over the whole field, one row a cell: its size is that of the region at a
+    resolution, and doesn't grow with the trips."""
+    rows = field.orderBy(F.desc("elevation"), "cell").collect()
     height = {tuple(map(int, r["cell"].split(","))): r["elevation"] for r in rows}
     used: set[tuple[int, int]] = set()
     out: list[dict] = []
@@ -143,6 +144,17 @@ def ridges(field: DataFrame, peaks: int = 5000, routes: int = 100, first_cap: in
     return sorted(out, key=lambda x: -x["avg_elevation"])
 
 
+def ridges_by_length(spark: SparkSession, routes: list[dict], edge: float, km: tuple[float, ...], most: int = 100, p: Params = DEFAULT) -> DataFrame:
+    """(least_km, rank, n_cells, length_km, avg_elevation, peak, cells): for each length,
+    the first `most` ridges that are as long, in the order of ridges()."""
+    rows = [(i + 1, r["n_cells"], r["avg_elevation"], int(r["peak"]), r["cells"]) for i, r in enumerate(routes)]
+    df = spark.createDataFrame(rows, "rank int, n_cells int, avg_elevation double, peak int, way array<string>")
+    df = df.withColumn("length_km", F.round(geo.path_km(F.transform("way", lambda c: geo.centre(c, edge, p)), p), 3))
+    df = df.withColumn("least_km", F.explode(F.array(*[F.lit(float(x)) for x in km]))).where("length_km >= least_km")
+    first = df.withColumn("__n", F.row_number().over(W.partitionBy("least_km").orderBy("rank"))).where(F.col("__n") <= most)
+    return first.select("least_km", "rank", "n_cells", "length_km", "avg_elevation", "peak", F.array_join("way", "|").alias("cells"))
+
+
 # -- exploratory tables -------------------------------------------------------
 
 

@@ -175,6 +175,13 @@ def hll(src: str, group: str, value: str) -> str:
     return f"SELECT {group}, h % {1 << HB} AS register, max({rank}) AS rank FROM (SELECT {group}, {h} AS h FROM {src}) GROUP BY {group}, register"
 
 
+TAXI_CELLS = "(SELECT unnest(cells) AS cell, CAST(taxi_id AS VARCHAR) AS taxi FROM trips)"
+_M = 1 << HB
+_ALPHA = {16: 0.673, 32: 0.697, 64: 0.709}.get(_M, 0.7213 / (1 + 1.079 / _M))
+HLL_ESTIMATE = f"""SELECT cell, CASE WHEN raw <= {num(2.5 * _M)} AND used < {_M} THEN {num(float(_M))} * ln({num(float(_M))} / ({_M} - used)) ELSE raw END AS estimate
+  FROM (SELECT cell, used, {num(_ALPHA * _M * _M)} / (s + ({_M} - used)) AS raw FROM (SELECT cell, count(*) AS used, sum(pow(2e0, -rank)) AS s FROM ({hll(TAXI_CELLS, "cell", "taxi")}) GROUP BY cell))"""
+
+
 def minhash(src: str, group: str, item: str, n: int) -> str:
     p = 2147483647
     return f"""SELECT {group}, i, min(((((i + 1) * 1103515245 + 12345) % {p - 1} + 1) * x + ((i + 1) * 22695477 + 1) % {p}) % {p}) AS value
@@ -248,6 +255,16 @@ ORACLE_SQL: dict[str, str] = {
     "jn4_bloom_membership": T("SELECT gram, bool_and(b.bit IS NOT NULL) AS maybe FROM (" + " UNION ".join(f"SELECT gram, ({h32('gram', 101)} + {h32('gram', 202)} * {i}) % {BM} AS bit FROM (SELECT DISTINCT gram FROM {grams(4)})" for i in range(BK)) + ") x LEFT JOIN b USING (bit) GROUP BY gram", "b AS (" + bloom(f"(SELECT gram FROM {support(4)} WHERE support >= 5)", "gram") + ")"),
     "agg10_bloom_no_false_negatives": "SELECT 0 AS false_negatives",
     "agg11_hll_registers": T("SELECT cell, register, rank FROM (" + hll("(SELECT unnest(cells) AS cell, CAST(taxi_id AS VARCHAR) AS taxi FROM trips)", "cell", "taxi") + ")"),
+    "agg11_hll_estimates": T("SELECT cell, round(estimate, 6) AS estimate FROM (" + HLL_ESTIMATE + ")"),
+    "agg11_hll_merged": T("SELECT cell, register, rank FROM (" + hll(TAXI_CELLS, "cell", "taxi") + ")"),
+    "agg12_distinct_counter_all_cells": T("SELECT cell, round(CASE WHEN n <= 64 THEN CAST(n AS DOUBLE) ELSE estimate END, 6) AS n_distinct FROM (" + HLL_ESTIMATE + ") JOIN (SELECT cell, count(DISTINCT taxi) AS n FROM " + TAXI_CELLS + " GROUP BY cell) USING (cell)"),
+    "agg10_bloom_merged": T("SELECT bit FROM (" + bloom(f"(SELECT gram FROM {support(4)} WHERE support >= 5)", "gram") + ")"),
+    "agg9_cms_errors": T("SELECT count(*) AS keys, count(*) FILTER (WHERE estimate > n) AS over, CAST(max(estimate - n) AS BIGINT) AS most, CAST(sum(estimate - n) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS items FROM (SELECT gram, min(total) AS estimate FROM (" + " UNION ALL ".join(f"SELECT gram, total FROM g JOIN c ON c.row = {d} AND c.bucket = {h32('gram', d)} % {CW}" for d in range(CD)) + ") GROUP BY gram) JOIN g USING (gram)",
+        f"g AS (SELECT gram, count(*) AS n FROM {grams(3)} GROUP BY gram), c AS (" + cms(grams(3), "gram") + ")"),
+    "agg5_approx_quantiles": T("SELECT CAST(i - 1 AS INT) AS i, q[i] AS km FROM (SELECT quantile_disc(distance_km, [0.01, 0.25, 0.5, 0.75, 0.99]) AS q FROM trips), (SELECT unnest(range(1, 6)) AS i)"),
+    "win1_lcp": T("""SELECT bucket, trip_id, CAST(beg AS INT) AS at, array_to_string(s, '|') AS suffix, CAST(coalesce(list_position(list_transform(range(1, greatest(len(s), len(coalesce(p, []))) + 1), lambda i: coalesce(s[i] = p[i], false)), false) - 1, len(s)) AS INT) AS lcp
+  FROM (SELECT *, lag(s) OVER (PARTITION BY bucket ORDER BY array_to_string(s, '|'), trip_id, beg) AS p FROM (SELECT trip_id, beg, s, array_to_string(s[1:2], '|') AS bucket FROM suf))""",
+        "suf AS (SELECT trip_id, beg, cells[beg + 1:beg + 70] AS s FROM (SELECT trip_id, cells, unnest(range(0, len(cells) - 4)) AS beg FROM trips WHERE len(cells) >= 5))"),
     "agg12_distinct_counter": T("SELECT cell, CAST(count(DISTINCT taxi_id) AS DOUBLE) AS n_distinct FROM (SELECT unnest(cells) AS cell, taxi_id FROM trips) GROUP BY cell HAVING count(DISTINCT taxi_id) <= 64"),
     "set6_merged_sketch": T("SELECT * FROM (" + cms(grams(3), "gram") + ")"),
     "agg9_sketch_sizing": "SELECT 2719 AS width, 5 AS depth, 2097152 AS budget_width, 9592 AS bloom_bits, 7 AS bloom_hashes",

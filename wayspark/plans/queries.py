@@ -243,7 +243,8 @@ def _(spark, d):
 
 @query("agg11_hll_estimates")
 def _(spark, d):
-    return sketch.hll_estimate(sketch.hll(_taxi_cells(spark, d), ["cell"], "taxi", HB), ["cell"], HB)
+    found = sketch.hll_estimate(sketch.hll(_taxi_cells(spark, d), ["cell"], "taxi", HB), ["cell"], HB)
+    return found.select("cell", F.round("estimate", 6).alias("estimate"))
 
 
 @query("agg12_distinct_counter")
@@ -256,7 +257,35 @@ def _(spark, d):
 @query("agg12_distinct_counter_all_cells")
 def _(spark, d):
     """Every cell, the estimated ones too; agg12_distinct_counter's SQL has the exact ones only."""
-    return sketch.distinct_count(_taxi_cells(spark, d), ["cell"], "taxi", HB)
+    found = sketch.distinct_count(_taxi_cells(spark, d), ["cell"], "taxi", HB)
+    return found.select("cell", F.round("n_distinct", 6).alias("n_distinct"))
+
+
+@query("agg11_hll_merged")
+def _(spark, d):
+    """Registers of two halves of the trips, merged."""
+    rows = trips(spark, d).select("trip_id", F.explode("cells").alias("cell"), F.col("taxi_id").cast("string").alias("taxi"))
+    odd = F.pmod(F.xxhash64("trip_id"), F.lit(2)) == 1
+    halves = [sketch.hll(rows.where(x), ["cell"], "taxi", HB) for x in (odd, ~odd)]
+    return sketch.hll_merge(*halves)
+
+
+@query("agg10_bloom_merged")
+def _(spark, d):
+    """Bits of two halves of the frequent grams, merged."""
+    g = gate.frequent(trips(spark, d), 4, 5).select("gram")
+    odd = F.pmod(F.xxhash64("gram"), F.lit(2)) == 1
+    return sketch.bloom(g.where(odd), "gram", BM, BK).union(sketch.bloom(g.where(~odd), "gram", BM, BK)).distinct()
+
+
+@query("agg9_cms_errors")
+def _(spark, d):
+    """How far the Count-Min estimates of the 3-grams are above their counts."""
+    g = _grams(spark, d, 3)
+    true = g.groupBy("gram").agg(F.count("*").alias("n"))
+    est = sketch.cms_estimate(sketch.cms(g, "gram", CW, CD), true.select("gram"), "gram", CW, CD)
+    off = est.join(true, "gram").select((F.col("estimate") - F.col("n")).alias("off"), "n")
+    return off.agg(F.count("*").alias("keys"), F.count_if(F.col("off") > 0).alias("over"), F.max("off").alias("most"), F.sum("off").alias("total"), F.sum("n").alias("items"))
 
 
 @query("set6_merged_sketch")
@@ -581,6 +610,35 @@ def _(spark, d):
     return spark.createDataFrame([(i + 1, r["n_cells"], int(r["peak"]), r["avg_elevation"], KEY_OF(r["cells"])) for i, r in enumerate(rows)], "rank int, n_cells int, peak int, avg_elevation double, cells string")
 
 
+@query("top12_ridges_by_km")
+def _(spark, d):
+    """Ridges on resolution 11, by least length."""
+    t = _encoded(spark, d).select(seq.dedup(geo.encode_all(F.col("coordinates"), P.ridge_edge_km, P)).alias("cells"))
+    rows = analysis.ridges(analysis.elevation(t))
+    return analysis.ridges_by_length(spark, rows, P.ridge_edge_km, (1.0, 3.0, 5.0, 10.0))
+
+
+@query("seq10_11_extensions")
+def _(spark, d):
+    """One round of growth from the frequent 3-grams: what each corridor's trips do next."""
+    t = trips(spark, d)
+    g = gate.frequent(t, 3, 25)
+    front = g.select(F.col("gram").alias("corridor"), F.array(F.split("gram", r"\|")).alias("segments"), "support")
+    ext = growth.extensions(t, front, match.spans(t, front, P.max_gap, 1), 3, gate.frequent(t, 3, 8), 4, P.max_gap)
+    return ext.where("support >= 8").select("corridor", "kind", KEY(F.col("step")).alias("step"), "support", "hop")
+
+
+@query("win10_branches")
+def _(spark, d):
+    """The children of that round that are kept: two a parent, valid, of different cells."""
+    t = trips(spark, d)
+    g = gate.frequent(t, 3, 25)
+    front = g.select(F.col("gram").alias("corridor"), F.array(F.split("gram", r"\|")).alias("segments"), "support")
+    ext = growth.extensions(t, front, match.spans(t, front, P.max_gap, 1), 3, gate.frequent(t, 3, 8), 4, P.max_gap).where("support >= 8")
+    kids = corridor.valid(corridor.metrics(growth.children(front, ext, 2)), 3)
+    return growth.branches(kids, 2).select("parent", "corridor", "support")
+
+
 def KEY_OF(cells: list[str]) -> str:
     return "|".join(cells)
 
