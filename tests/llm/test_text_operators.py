@@ -41,6 +41,16 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_compares_content(spark, monkeypatch):
+    """Texts that share all digests stay apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "digests", lambda body: {"text_sha256": F.lit("same"), "h2": F.lit(1).cast("bigint"), "len": F.lit(1)})
+    rows = [(i, "ab"[i % 2], "z") for i in range(10)]
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect())
+    assert got == [(i, i % 2, 5) for i in range(10)]
+
+
 def mix_brute(rows):
     size = {}
     for _, t, s in rows:
@@ -87,11 +97,11 @@ def test_mixing(spark):
 
 def canon(t):
     f = lambda x: unicodedata.normalize("NFKC", x)
-    return re.sub(r"\s+", " ", f(f(t).lower())).strip(" ")
+    return re.sub(r"\s+", " ", f(f(t).casefold())).strip(" ")
 
 
 def test_fingerprints(spark):
-    rows = [r for r in ODD if r[0] is not None and r[0] != 9] + [(20, "Größe  ﬁn", "a"), (21, "größe FIN", "a"), (22, "café", "a"), (23, "CAFÉ", "a")] + [(30 + i, f"t{i} " * (i % 7 + 1), "a") for i in range(60)]
+    rows = [r for r in ODD if r[0] is not None and r[0] != 9] + [(20, "Größe  ﬁn", "a"), (21, "größe FIN", "a"), (24, "Straße ΛΌΓΟΣ", "a"), (25, "STRASSE λόγος", "a"), (22, "café", "a"), (23, "CAFÉ", "a")] + [(30 + i, f"t{i} " * (i % 7 + 1), "a") for i in range(60)]
     rows.sort()
     text = [t or "" for _, t, _ in rows]
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(frame(spark, rows[::-1])).collect()}
@@ -106,6 +116,7 @@ def test_fingerprints(spark):
         assert by_canon.setdefault(canon(t), r["fingerprint"]) == r["fingerprint"]
         assert by_canon.setdefault(canon(edited), r["edited_fingerprint"]) == r["edited_fingerprint"]
     assert len(set(by_canon.values())) == len(by_canon)
+    assert got[24]["fingerprint"] == got[25]["fingerprint"]
     assert got[20]["fingerprint"] == got[21]["fingerprint"] and got[22]["fingerprint"] == got[23]["fingerprint"]
 
 
@@ -153,6 +164,24 @@ def test_bpe_tree_is_exact(leaf):
         assert enc.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_joins_halves_of_texts():
+    """Cuts fall within runs, between them and in white space; the ids stay the library's."""
+    path = bpe.vocabulary()
+    rng = random.Random(2)
+    for span in (1, 7, 64):
+        enc, lib = bpe.TreeEncoder(path, span=span), library(path)
+        for t in TEXTS + ["".join(rng.choice("ab e'é1.\n\t\x1c Σß") for _ in range(n)) for n in (2, 9, 80, 900)]:
+            assert enc.encode(t) == lib.encode(t, add_special_tokens=False).ids, (span, t[:50])
+        assert enc.joins > 20
+    # documents of the tables are long enough to be cut
+    import duckdb
+
+    enc, lib = bpe.TreeEncoder(path), library(path)
+    for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) > 9000").fetchall():
+        assert enc.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    assert enc.joins > 10
+
+
 def test_bpe_documents(spark):
     lib = library(bpe.vocabulary())
     rows = [(k, t, "a") for k, t in enumerate(TEXTS)] + ODD

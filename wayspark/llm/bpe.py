@@ -36,7 +36,8 @@ def byte_letters() -> list[str]:
 class TreeEncoder:
     """Encodes texts exactly as the tokenizers library does with one vocabulary file.
 
-    Text is cut at white space, runs are split as the vocabulary says, and the ids and
+    Long texts are encoded as a tree of halves (_tree); joins counts the joins. Text is
+    cut at white space, runs are split as the vocabulary says, and the ids and
     decoded tokens of short runs and pieces are kept in tables of bounded size. A piece
     of more than `leaf` byte letters is encoded as a tree: its leaves in parallel,
     then neighbours joined pairwise. At a join the last tokens of the left and the
@@ -46,7 +47,7 @@ class TreeEncoder:
     joined sequence is the encoding of the whole.
     """
 
-    def __init__(self, path: str, leaf: int = 2048, most: int = 80_000) -> None:
+    def __init__(self, path: str, leaf: int = 2048, most: int = 80_000, span: int = 4096) -> None:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -67,7 +68,7 @@ class TreeEncoder:
         self.split = re.compile(f"[^{_SPACES}]+").findall
         self.odd = re.compile("[\x1c-\x1f]").search
         self.letters = byte_letters()
-        self.leaf, self.most = leaf, most
+        self.leaf, self.most, self.span, self.joins = leaf, most, span, 0
         self.model = self.ending.model
         self.table: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
@@ -175,7 +176,33 @@ class TreeEncoder:
 
     def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
         self.room()
-        runs, table = self.runs(text), self.table
+        return self._tree(text)[1]
+
+    def _tree(self, text: str) -> tuple[list[str], list[tuple[bytes, bytes]]]:
+        """The runs of a text and their ids and decoded tokens. A text of more than `span`
+        characters is cut in halves, wherever that is, and each is encoded by itself; then
+        the runs on either side of the cut are encoded anew together, in a window that
+        grows until its first and last run agree with both sides."""
+        if len(text) <= self.span:
+            runs = self.runs(text)
+            return runs, self._entries(runs)
+        mid = len(text) // 2
+        (left, a), (right, b) = self._tree(text[:mid]), self._tree(text[mid:])
+        if not left or not right:
+            return left + right, a + b
+        self.joins += 1
+        glue = "" if self.split(text[mid - 1]) and self.split(text[mid]) else " "
+        n = 1
+        while True:
+            x, y = max(0, len(left) - n), min(n, len(right))
+            runs = self.runs(" ".join(left[x:]) + glue + " ".join(right[:y]))
+            new = self._entries(runs)
+            if (not x or new[0] == a[x]) and (y == len(right) or new[-1] == b[y - 1]):
+                return left[:x] + runs + right[y:], a[:x] + new + b[y:]
+            n *= 2
+
+    def _entries(self, runs: list[str]) -> list[tuple[bytes, bytes]]:
+        table = self.table
         got = list(map(table.get, runs))
         if None in got:
             for i, e in enumerate(got):

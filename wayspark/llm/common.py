@@ -17,13 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new
-    temporary one where the session names none (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where the
+    session names none and runs on one machine, as in tests, a new temporary one."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if path is None:
         path = sc.getCheckpointDir()
     if path is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="wayspark-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")

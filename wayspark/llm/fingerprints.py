@@ -14,9 +14,14 @@ def _nfkc(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
 
 
+def _folded(c: Column) -> Column:
+    full = F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(c))
+
+
 def canonical(c: Column) -> Column:
-    """NFKC, lower case, white space of any kind folded to one space, trimmed."""
-    return F.trim(F.regexp_replace(_nfkc(F.lower(_nfkc(c))), r"[\s\p{Z}\x85]+", " "))
+    """NFKC, full case folding, white space of any kind folded to one space, trimmed."""
+    return F.trim(F.regexp_replace(_nfkc(_folded(_nfkc(c))), r"[\s\p{Z}\x85]+", " "))
 
 
 def wide_digest(c: Column) -> Column:
