@@ -162,6 +162,21 @@ def test_ridges_use_up_their_cells(spark):
     assert len(set(cells)) == len(cells) == routes[0]["n_cells"]
 
 
+def test_ridges_by_length(spark):
+    routes = [{"cells": line(n, 3 * n), "n_cells": n, "peak": 9, "avg_elevation": float(n)} for n in (40, 20, 5)]
+    step = 0.174 * 3**0.5
+    got = {(r.least_km, r.rank): r.length_km for r in analysis.ridges_by_length(spark, routes, 0.174, (1.0, 3.0, 5.0, 10.0)).collect()}
+    want = {(km, i + 1): step * (r["n_cells"] - 1) for i, r in enumerate(routes) for km in (1.0, 3.0, 5.0, 10.0) if step * (r["n_cells"] - 1) >= km}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=0.01) for k in want)
+    assert analysis.ridges_by_length(spark, routes, 0.174, (1.0,), most=1).count() == 1
+
+
+def test_branches_are_valid_before_they_count(spark):
+    kids = [("p", "a", 1, "x"), ("p", "b", 2, "x"), ("p", "c", 3, "y"), ("p", "d", 4, "z"), ("q", "e", 1, "x")]
+    df = spark.createDataFrame(kids, "parent string, corridor string, place int, head string")
+    assert {(r.parent, r.corridor) for r in growth.branches(df, 2).collect()} == {("p", "a"), ("p", "c"), ("q", "e")}
+
+
 def test_day_parts_and_histogram(spark):
     got = [r[0] for r in spark.range(24).select(analysis.day_part(F.col("id"))).collect()]
     assert [i for i, x in enumerate(got) if x == "morning"] == [7, 8, 9, 10] and [i for i, x in enumerate(got) if x == "night"] == [0, 1, 2, 3, 4, 23]

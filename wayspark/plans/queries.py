@@ -612,7 +612,14 @@ def _(spark, d):
 
 @query("top12_ridges_by_km")
 def _(spark, d):
-    """Ridges on resolution 11, by least length."""
+    """Ridges of the walks, by least length."""
+    rows = analysis.ridges(analysis.elevation(trips(spark, d)))
+    return analysis.ridges_by_length(spark, rows, P.edge(9), (1.0, 3.0, 5.0, 10.0))
+
+
+@query("top12_ridges_res11")
+def _(spark, d):
+    """Ridges of the raw traces on resolution 11; none where traces are too few to touch."""
     t = _encoded(spark, d).select(seq.dedup(geo.encode_all(F.col("coordinates"), P.ridge_edge_km, P)).alias("cells"))
     rows = analysis.ridges(analysis.elevation(t))
     return analysis.ridges_by_length(spark, rows, P.ridge_edge_km, (1.0, 3.0, 5.0, 10.0))
