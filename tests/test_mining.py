@@ -186,3 +186,26 @@ def test_day_parts_and_histogram(spark):
 
 def test_key_is_reversible(spark):
     assert spark.range(1).select(seq.key(F.array(F.lit("a"), F.lit("b")))).first()[0] == "a|b"
+
+
+def test_subset_counts_trips_by_chunks(spark):
+    """Many trips that all visit the cells of many corridors; in time, as no row stands
+    for one trip and one corridor."""
+    import itertools
+    import time
+
+    rng = random.Random(3)
+    cells = [f"{i},0" for i in range(24)]
+    rows = [(f"t{i}", rng.sample(cells, rng.randint(16, 24))) for i in range(5000)]
+    ways = [[list(w[:2]), list(w[2:])] for w in itertools.combinations(cells, 4)] + [[["0,0", "1,0"], ["1,0"]], [["nowhere"]]]
+    t = spark.createDataFrame(rows, "trip_id string, cells array<string>")
+    c = spark.createDataFrame([(str(i), w) for i, w in enumerate(ways)], "corridor string, segments array<array<string>>")
+    began = time.time()
+    got = {r["corridor"]: r["trips"] for r in match.subset(t, c).collect()}
+    took = time.time() - began
+    sets = [set(x) for _, x in rows]
+    for i in [*range(0, len(ways), 997), len(ways) - 2]:
+        need = {x for s in ways[i] for x in s}
+        assert got[str(i)] == sum(need <= s for s in sets)
+    assert str(len(ways) - 1) not in got and len(got) == len(ways) - 1
+    assert took < 30, took

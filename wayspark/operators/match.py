@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from wayspark.functions import seq
 
 
 #: Cells of a segment's key. A busy cell is in many keys, each as rare as the way it starts.
 _KEY = 3
+#: Numbers of 64 trips in a bitmap, and the sequences that trips are numbered in.
+_WIDTH, _DEALS = 8, 8
 
 
 def _segments(corridors: DataFrame) -> DataFrame:
@@ -92,11 +95,24 @@ def verify(trips: DataFrame, corridors: DataFrame, max_gap: int, most_segments:
 
 
 def subset(trips: DataFrame, corridors: DataFrame) -> DataFrame:
-    """(corridor, trips): trips that visit all of a corridor's cells, in any order."""
-    cells = corridors.select("corridor", F.explode(F.array_distinct(F.flatten("segments"))).alias("cell"), F.size(F.array_distinct(F.flatten("segments"))).alias("need"))
-    seen = trips.select("trip_id", F.explode(F.array_distinct("cells")).alias("cell"))
-    full = seen.join(cells, "cell").groupBy("trip_id", "corridor", "need").agg(F.count("*").alias("n")).where("n = need")
-    return full.groupBy("corridor").agg(F.count("*").alias("trips"))
+    """(corridor, trips): trips that visit all of a corridor's cells, in any order.
+
+    A cell's trips are bitmaps over chunks of trips, numbered in an order of their own;
+    corridors of the same cells are one set, whose cells' bitmaps are intersected chunk
+    by chunk. A row stands for up to 512 trips, where a join by trip has one for each."""
+    named = corridors.select("corridor", F.array_sort(F.array_distinct(F.flatten("segments"))).alias("cells")).withColumn("set", seq.key(F.col("cells")))
+    sets = named.dropDuplicates(["set"]).select("set", F.explode("cells").alias("cell"), F.size("cells").alias("need"))
+    # what has a place in a sequence of trips is the same whenever it is made again
+    place = F.row_number().over(W.partitionBy("deal").orderBy("trip_id")) - 1
+    seen = trips.groupBy("trip_id").agg(F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"))
+    seen = seen.withColumn("deal", F.pmod(F.xxhash64("trip_id"), F.lit(_DEALS))).withColumn("place", place)
+    seen = seen.select(F.explode("cells").alias("cell"), "deal", F.floor(F.col("place") / (64 * _WIDTH)).alias("chunk"), F.shiftright("place", 6).alias("i"), F.col("place").bitwiseAND(F.lit(63)).alias("b"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))
+    parts = [F.bit_or(F.when(F.col("i") % _WIDTH == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(_WIDTH)]
+    bitmaps = seen.groupBy("cell", "deal", "chunk").agg(*parts)
+    met = sets.join(bitmaps, "cell").groupBy("set", "need", "deal", "chunk").agg(F.count("*").alias("n"), *[F.bit_and(f"b{i}").alias(f"b{i}") for i in range(_WIDTH)]).where("n = need")
+    full = met.groupBy("set").agg(F.sum(sum((F.bit_count(f"b{i}") for i in range(_WIDTH)), F.lit(0))).alias("trips")).where("trips > 0")
+    return named.join(full, "set").select("corridor", "trips")
 
 
 def greedy(trips: DataFrame, corridors: DataFrame, max_gap: int) -> DataFrame:
