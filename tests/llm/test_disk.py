@@ -1,10 +1,10 @@
-"""What line dedup leaves on disk, and the pairs that it writes."""
+"""What line dedup and the Jaccard join leave on disk, and the pairs that they write."""
 
 from __future__ import annotations
 
 import os
 
-from wayspark.llm import line_dedup
+from wayspark.llm import jaccard_join, line_dedup
 from wayspark.llm.common import recorded
 
 
@@ -26,6 +26,13 @@ def test_line_dedup_leaves_only_what_its_result_reads(spark):
     assert out.count() == 12 and out.where("n_dropped >= 20").count() == 11
 
 
+def test_jaccard_join_drops_digests_and_moves_no_set_to_find_hubs(spark):
+    with recorded() as paths:
+        out = jaccard_join.jaccard_components(_docs(spark), block_rows=4, hubs=2)
+    assert not any("sigs" in columns for columns in _left(spark, paths))
+    assert [r["component_id"] for r in out.orderBy("doc_id").collect()] == [0] * 12
+
+
 def test_lines_of_one_component_are_not_paired_again(spark):
     norm = [f"a line of some ten words that differ here in {x}" for x in ("one", "two", "three", "four", "five")]
     looks = line_dedup._looks(spark.createDataFrame(list(enumerate(norm)), "lid bigint, norm string"))

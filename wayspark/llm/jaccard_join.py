@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, give_back, stored
+from .common import components, freed, give_back, recorded, remove, stored
 
 _U = np.uint64
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)]
@@ -459,9 +459,13 @@ def jaccard_components(
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), lists], names=["doc_id", "n", "digest", "sigs"])
         give_back()
 
-    rows = stored(base.mapInArrow(describe, "doc_id bigint, n bigint, digest binary, sigs array<bigint>"))
-    met = groups(rows.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("id")))
-    shared = components(met.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    spark = docs.sparkSession
+    with recorded() as paths:
+        rows = stored(base.mapInArrow(describe, "doc_id bigint, n bigint, digest binary, sigs array<bigint>"))
+        met = groups(rows.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("id")))
+        freed(spark)
+        shared = components(met.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    rows = stored(rows.drop("sigs"))
     reps = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = rows.where("digest IS NOT NULL").select("digest", "doc_id").join(reps, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     in_family = reps.join(shared, reps["rep"] == shared["id"]).select("rep", F.explode(Levels(*levels).columns(F.col("n"))).alias("level"), "root", "n")
@@ -487,6 +491,9 @@ def jaccard_components(
             bits = [bitmap(x, lv.bits(k)).tobytes() for x, k in zip(found, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (2, 3)), pa.array([len(x) for x in found], pa.int64()), pa.array(bits, pa.binary())], names=["family", "block", "id", "n", "bits"])
 
+    # digests and families are read no more
+    remove(spark, paths)
+    freed(spark)
     # a shuffle join at every size, as members grow with the documents
     with_sets = (
         base.join(members.hint("merge"), base["doc_id"] == members["rep"])
@@ -502,12 +509,15 @@ def jaccard_components(
         edges = classes.union(links)
     else:
         with_sets = stored(with_sets)
+        freed(spark)
         many = with_sets.where("blocks > 1")
         # a few hubs a family: of the ids that a hash picks out, about 4 * hubs, the first
         picked = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.floor(F.col("blocks") * (block_rows / (4 * hubs))))) == 0
         order = members.where("blocks > 1").where(picked).groupBy("family").agg(F.slice(F.array_sort(F.collect_set("rep")), 1, hubs).alias("hubs"))
-        hub = many.join(order.select("family", F.explode("hubs").alias("id")), ["family", "id"]).select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.lit(0).alias("y"), "id", none, "set")
+        # broadcast, as a family has some thousand members for each of its hubs: sets don't move
+        hub = many.join(F.broadcast(order.select("family", F.explode("hubs").alias("id"))), ["family", "id"]).select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.lit(0).alias("y"), "id", none, "set")
         first = stored(link(with_sets.select("family", F.col("block").alias("x"), F.lit(0).alias("y"), "id", none, "set").union(hub)))
+        freed(spark)
         known = components(first)
         # beyond here, sets go as bitmaps
         marks = many.select("family", "level", "block", "id", "set").mapInArrow(bits_of, "family bigint, block int, id bigint, n bigint, bits binary")
@@ -526,4 +536,5 @@ def jaccard_components(
         late = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_exact(num, den), "a bigint, b bigint")
         edges = classes.union(first).union(late)
     found = components(edges)
+    freed(spark)
     return rows.select("doc_id", "n").join(found, rows["doc_id"] == found["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
