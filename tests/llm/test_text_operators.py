@@ -409,6 +409,19 @@ def test_toxicity_learns_from_rows_not_held_out(spark):
     assert again == {i: r["score"] for i, r in got.items()}
 
 
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    """The driver holds neither the sample nor the training, only what was learnt."""
+    rows = toxic_rows(200, 6)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "_adagrad", None)  # the driver's; tasks import their own
+        net = toxicity.fit_model(docs, labels)
+    known = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    want = toxicity.train([t for t, _ in known], np.array([y for _, y in known]))
+    assert list(net.p) == list(want.p) and all(np.allclose(net.p[k], want.p[k], atol=1e-4) for k in want.p)
+
+
 def test_windows_overlap_and_cover():
     s = toxicity.Sizes(window=8, stride=4)
     for n in (0, 1, 8, 9, 12, 13, 100):

@@ -359,20 +359,30 @@ def held_out(id_col: str) -> F.Column:
 
 def fit_model(docs: DataFrame, labels: DataFrame, positives: int = 800, negatives: int = 1600, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """Train on a sample of labelled rows that is bounded by positives and negatives
-    (the first of each label by a hash of the id), none of them held out."""
-    give_back()  # what the driver's earlier work held
+    (the first of each label by a hash of the id), none of them held out. The sample and
+    the training stay in a task: the driver gets the parameters, of some 2 MB."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = lambda t, n: marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = by_hash(1, positives).union(by_hash(0, negatives))
     # of bounded size: positives + negatives ids
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = base.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * (positives + negatives)).toPandas()
-    texts, toxic = got["text"].fillna("").tolist(), got["toxic"].to_numpy()
-    del got
-    net = train(texts, toxic)
-    del texts
-    give_back()
-    return net
+    got = base.join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * (positives + negatives)).select("text", "toxic")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += [t or "" for t in batch.column(0).to_pylist()]
+            toxic += batch.column(1).to_pylist()
+        p = train(texts, np.array(toxic, np.float32)).p
+        del texts
+        give_back()
+        cols = [list(p), [list(v.shape) for v in p.values()], [v.astype("<f4").tobytes() for v in p.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.list_(pa.int32()), pa.binary()))], names=["name", "shape", "data"])
+
+    # one task trains, not the driver, which holds the parameters only
+    rows = got.coalesce(1).mapInArrow(learn, "name string, shape array<int>, data binary").collect()
+    p = {r["name"]: np.frombuffer(r["data"], "<f4").reshape(r["shape"]).copy() for r in rows}
+    return Network(Sizes(), p) if p else train([], np.zeros(0, np.float32))
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
