@@ -44,9 +44,10 @@ def test_lines_of_one_component_are_not_paired_again(spark):
     assert pairs == {(1, 2), (1, 3), (1, 4), (2, 4), (3, 4)}, pairs
 
 
-def test_a_long_passage_makes_no_pairs(spark):
+def test_a_long_passage_makes_no_pairs(spark, monkeypatch):
     """Lines that share a passage of half their words, and with it several blocks, are
     settled where they meet; those that are alike are left open, each pair once."""
+    monkeypatch.setattr(line_dedup, "_LARGE", 50, raising=False)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
     passage = [word() for _ in range(24)]
@@ -54,10 +55,11 @@ def test_a_long_passage_makes_no_pairs(spark):
     for _ in range(30):
         own = [word() for _ in range(24)]
         norm += [" ".join(passage + own), " ".join([*passage, *own[:-1], "changed"])]
-    lines = spark.createDataFrame(list(enumerate(norm)), "lid bigint, norm string")
-    # all in three buckets, whose hub is another line; none in one component
-    rows = [(key, 61, 48, 48, i, 99, False) for key in (7, 8, 9) for i in range(60)]
-    members = spark.createDataFrame(rows, "key bigint, size bigint, low int, high int, lid bigint, hub bigint, open boolean")
-    near = spark.createDataFrame([], "id bigint, root bigint")
-    pairs = sorted((r["a"], r["b"]) for r in line_dedup._further(members, line_dedup._looks(lines), near, 0.8).collect())
-    assert pairs == [(i, i + 1) for i in range(0, 60, 2)], len(pairs)
+    docs = spark.createDataFrame(list(enumerate(norm)), "doc_id bigint, text string")
+    asked = []
+    alike = line_dedup._alike
+    monkeypatch.setattr(line_dedup, "_alike", lambda pairs, *a: asked.append(sorted((r["a"], r["b"]) for r in pairs.collect())) or alike(pairs, *a))
+    _, groups = line_dedup.line_groups(docs)
+    assert groups.select("group").distinct().count() == 30 and groups.count() == 60
+    star, further = asked
+    assert len(further) == len(set(further)) <= 60, len(further)
