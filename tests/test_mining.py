@@ -209,3 +209,24 @@ def test_subset_counts_trips_by_chunks(spark):
         assert got[str(i)] == sum(need <= s for s in sets)
     assert str(len(ways) - 1) not in got and len(got) == len(ways) - 1
     assert took < 30, took
+
+
+def test_subset_writes_no_row_for_a_corridor_and_a_chunk_of_trips(spark):
+    """Trips of the same cells are one row, whatever their number; corridors whose
+    segments are in another order as keys than as cells are met too."""
+    import itertools
+
+    cells = [f"1,{i}" for i in range(16)]
+    hash_of = lambda i: i * 2654435761 >> 7
+    many = [sum(hash_of(i) % 4 == k for i in range(24000)) for k in range(4)]
+    t = spark.createDataFrame([(f"t{i}", cells[hash_of(i) % 4 :]) for i in range(24000)], "trip_id string, cells array<string>")
+    pairs = [cells[i : i + 2] for i in range(15)]
+    ways = [[x, y, z] for x, y, z in itertools.permutations(pairs, 3)]
+    c = spark.createDataFrame([(str(i), w) for i, w in enumerate(ways)], "corridor string, segments array<array<string>>")
+    written = lambda: sum(x.totalShuffleWrite() for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    got = {r["corridor"]: r["trips"] for r in match.subset(t, c).collect()}
+    moved = written() - before
+    for i, w in enumerate(ways):
+        assert got[str(i)] == sum(n for k, n in enumerate(many) if {x for s in w for x in s} <= set(cells[k:])), w
+    assert moved < 700_000, moved

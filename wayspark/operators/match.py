@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wayspark.functions import seq
+from wayspark.sources import io
 
 
 #: Cells of a segment's key. A busy cell is in many keys, each as rare as the way it starts.
 _KEY = 3
-#: Numbers of 64 trips in a bitmap, and the sequences that trips are numbered in.
-_WIDTH, _DEALS = 8, 8
+#: Numbers of 64 trips in a bitmap, a power of two.
+_WIDTH = 16
 
 
 def _segments(corridors: DataFrame) -> DataFrame:
@@ -97,22 +97,54 @@ def verify(trips: DataFrame, corridors: DataFrame, max_gap: int, most_segments:
 def subset(trips: DataFrame, corridors: DataFrame) -> DataFrame:
     """(corridor, trips): trips that visit all of a corridor's cells, in any order.
 
-    A cell's trips are bitmaps over chunks of trips, numbered in an order of their own;
-    corridors of the same cells are one set, whose cells' bitmaps are intersected chunk
-    by chunk. A row stands for up to 512 trips, where a join by trip has one for each."""
-    named = corridors.select("corridor", F.array_sort(F.array_distinct(F.flatten("segments"))).alias("cells")).withColumn("set", seq.key(F.col("cells")))
-    sets = named.dropDuplicates(["set"]).select("set", F.explode("cells").alias("cell"), F.size("cells").alias("need"))
-    # what has a place in a sequence of trips is the same whenever it is made again
-    place = F.row_number().over(W.partitionBy("deal").orderBy("trip_id")) - 1
-    seen = trips.groupBy("trip_id").agg(F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"))
-    seen = seen.withColumn("deal", F.pmod(F.xxhash64("trip_id"), F.lit(_DEALS))).withColumn("place", place)
-    seen = seen.select(F.explode("cells").alias("cell"), "deal", F.floor(F.col("place") / (64 * _WIDTH)).alias("chunk"), F.shiftright("place", 6).alias("i"), F.col("place").bitwiseAND(F.lit(63)).alias("b"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))
-    parts = [F.bit_or(F.when(F.col("i") % _WIDTH == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{i}") for i in range(_WIDTH)]
-    bitmaps = seen.groupBy("cell", "deal", "chunk").agg(*parts)
-    met = sets.join(bitmaps, "cell").groupBy("set", "need", "deal", "chunk").agg(F.count("*").alias("n"), *[F.bit_and(f"b{i}").alias(f"b{i}") for i in range(_WIDTH)]).where("n = need")
-    full = met.groupBy("set").agg(F.sum(sum((F.bit_count(f"b{i}") for i in range(_WIDTH)), F.lit(0))).alias("trips")).where("trips > 0")
-    return named.join(full, "set").select("corridor", "trips")
+    Trips of the same cells are one row with their number. Each meets the segments'
+    cells; a segment's trips are then bitmaps over chunks of trips of one number, and
+    corridors are followed as a trie of segments, whose bitmaps are intersected chunk by
+    chunk and counted where they meet: no row stands for one trip and one corridor, nor
+    for one corridor and a chunk that it isn't in. What is read again is written."""
+    spark = trips.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        df.write.parquet(path := io.scratch(spark))
+        return spark.read.parquet(path)
+
+    each = F.filter(F.transform("segments", lambda s: F.array_sort(F.array_distinct(s))), lambda s: F.size(s) > 0)
+    named = corridors.where(F.forall(F.flatten("segments"), lambda c: c.isNotNull())).select("corridor", F.array_sort(F.array_distinct(each)).alias("parts"))
+    named = written(named.where(F.size("parts") > 0).select("corridor", "parts", F.array_sort(F.transform("parts", seq.key)).alias("ids")))
+    segs = named.select(F.explode("parts").alias("part")).distinct()
+    segs = segs.select(seq.key(F.col("part")).alias("seg"), F.get("part", F.lit(0)).alias("one"), F.coalesce(F.get("part", F.lit(1)), F.get("part", F.lit(0))).alias("two"), F.slice("part", 3, F.size("part")).alias("rest"))
+    sets = trips.groupBy("trip_id").agg(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("cells"))))).alias("cells"))
+    # numbered once, as a number is another whenever it is made again
+    sets = sets.groupBy("cells").agg(F.count("*").alias("n")).sortWithinPartitions("n", "cells")
+    sets = written(sets.withColumn("set", F.monotonically_increasing_id()))
+    begin = sets.select("*", F.explode("cells").alias("one")).join(segs.groupBy("one").agg(F.collect_set("two").alias("twos")), "one")
+    begin = begin.select("set", "n", "cells", "one", F.explode(F.array_intersect("twos", "cells")).alias("two"))
+    # the next cell alone settles most, and costs less
+    rest = (F.size("rest") == 0) | (F.array_contains("cells", F.get("rest", F.lit(0))) & (F.size(F.array_except("rest", "cells")) == 0))
+    held = written(begin.join(segs, ["one", "two"]).where(rest).select("set", "n", "seg"))
+    counts = held.groupBy(F.col("seg").alias("begun")).agg(F.sum("n").alias("trips"))
+    begun = lambda i: F.array_join(F.slice("ids", 1, i), " ~ ")
+    most = named.agg(F.max(F.size("ids"))).first()[0] or 0
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("set").bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    at = F.shiftright("set", 6).bitwiseAND(F.lit(_WIDTH - 1).cast("bigint"))
+    bits = [f"b{i}" for i in range(_WIDTH)]
+    used = named.where(F.size("ids") > 1).select(F.explode("ids").alias("seg")).distinct()
+    chunks = held.join(used, "seg", "left_semi").groupBy("seg", "n", F.floor(F.col("set") / (64 * _WIDTH)).alias("chunk"))
+    chunks = written(chunks.agg(*[F.bit_or(F.when(at == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(b) for i, b in enumerate(bits)])) if most > 1 else None
+    reach = chunks.select("*", F.col("seg").alias("begun")).withColumnRenamed("seg", "last") if most > 1 else None
+    for i in range(1, most):
+        trie = named.where(F.size("ids") > i).select(begun(i).alias("begun"), F.get("ids", F.lit(i)).alias("seg"), begun(i + 1).alias("to")).distinct()
+        nxt = chunks.join(trie.select("seg").distinct(), "seg", "left_semi").select("seg", "n", "chunk", *[F.col(b).alias(f"__{b}") for b in bits])
+        met = reach.join(trie.select("begun").distinct(), "begun", "left_semi").join(nxt, ["n", "chunk"]).where("seg > last")
+        met = met.select("begun", "seg", "n", "chunk", *[F.col(b).bitwiseAND(F.col(f"__{b}")).alias(b) for b in bits])
+        size = sum((F.bit_count(b) for b in bits), F.lit(0))
+        found = met.groupBy("begun", "seg").agg(F.sum(size * F.col("n")).alias("trips")).where("trips > 0")
+        counts = counts.unionByName(found.join(trie, ["begun", "seg"]).select(F.col("to").alias("begun"), "trips"))
+        if i + 1 < most:
+            # behind a generator, as constraints of filtered aliases double with each of them
+            kept = met.select("begun", "seg", "n", "chunk", F.inline(F.array(F.struct(*bits)))).where(size > 0)
+            reach = kept.join(trie, ["begun", "seg"]).select("n", "chunk", *bits, F.col("to").alias("begun"), F.col("seg").alias("last"))
+    return named.select("corridor", F.array_join("ids", " ~ ").alias("begun")).join(counts, "begun").select("corridor", "trips")
 
 
 def greedy(trips: DataFrame, corridors: DataFrame, max_gap: int) -> DataFrame:

@@ -382,9 +382,10 @@ def _(spark, d):
 # -- corridors ----------------------------------------------------------------
 
 
-def corridors(spark, d) -> DataFrame:
-    """Frequent 3- and 4-grams, and pairs of frequent 2-grams with a hole between."""
-    t = trips(spark, d)
+def corridors(spark, d, t: DataFrame | None = None) -> DataFrame:
+    """Frequent 3- and 4-grams, and pairs of frequent 2-grams with a hole between. t: the
+    trips, where they are written already."""
+    t = trips(spark, d) if t is None else t
     one = lambda k, n, m: gate.frequent(t, k, n).select(F.lit(m).alias("method"), F.col("gram").alias("corridor"), F.array(F.split("gram", r"\|")).alias("segments"), F.col("support").alias("mined_support"))
     g = gate.frequent(t, 2, 60)
     # the two sides are the few cells' worth of very frequent transitions
@@ -420,7 +421,10 @@ def _(spark, d):
 
 @query("set4_subset")
 def _(spark, d):
-    return match.subset(trips(spark, d), corridors(spark, d))
+    path = io.scratch(spark)
+    trips(spark, d).select("trip_id", "cells").write.parquet(path)
+    t = spark.read.parquet(path)
+    return match.subset(t, corridors(spark, d, t))
 
 
 @query("min8_verify")
